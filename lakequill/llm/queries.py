@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe, counts, shared, tokenfile
+from lakequill.llm import bpe, counts, ngrams, shared, tokenfile
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.fresh_path(spark, "token-files")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), end_id=1)
@@ -33,7 +37,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_output, op5_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op4_token_output, op5_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
