@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe, counts, ngrams, shared, tokenfile
+from lakequill.llm import bpe, counts, discriminant, ngrams, quality, shared, tokenfile
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -36,8 +36,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), shared.fresh_path(spark, "token-counts"), limit=2048)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op4_token_output, op5_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op4_token_output, op5_token_counts, op8_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
