@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe, counts, discriminant, ngrams, quality, shared, tokenfile
+from lakequill.llm import bpe, counts, discriminant, mixing, ngrams, quality, secrets, shared, tokenfile
 
 WORD_BPE = "word_bpe_49k.json"
+#: Wanted shares of tokens by language.
+LANGUAGE_SHARES = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.fresh_path(spark, "token-files")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE), end_id=1)
@@ -40,12 +46,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), LANGUAGE_SHARES)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op4_token_output, op5_token_counts, op8_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_secrets, op4_token_output, op5_token_counts, op8_quality_classifier, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
