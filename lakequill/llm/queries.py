@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe, counts, discriminant, mixing, ngrams, quality, secrets, shared, tokenfile
+from lakequill.llm import bpe, counts, discriminant, hamming, licenses, mixing, ngrams, quality, secrets, shared, tokenfile
 
 WORD_BPE = "word_bpe_49k.json"
 #: Wanted shares of tokens by language.
@@ -42,6 +42,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), shared.fresh_path(spark, "token-counts"), limit=2048)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document is a file in the folder of its language in that of its source."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=10, dimensions=64)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_secrets, op4_token_output, op5_token_counts, op8_quality_classifier, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_secrets, op4_token_output, op5_token_counts, op6_licenses, op7_top_k, op8_quality_classifier, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
