@@ -21,10 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; drop_written() removes it."""
+def fresh_path(spark: SparkSession, name: str, stays: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; drop_written() removes it, unless it ``stays``."""
     path = f"{shared_dir(spark)}/lakequill/{uuid.uuid4().hex}/{name}"
-    _WRITTEN.append(path)
+    if not stays:
+        _WRITTEN.append(path)
     return path
 
 
