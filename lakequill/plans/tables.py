@@ -1,11 +1,12 @@
-"""Loading the benchmark tables."""
+"""The benchmark tables as relations of an engine."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lakequill.plans.engine import Engine
+from lakequill.sources.registry import Registry
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -13,10 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run SQL over the tables it names; each is a temp view named like the table."""
-    words = set(re.findall(r"[a-z_]+", text))
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine that knows every table of the folder; a table is opened when a query names it."""
+    registry = Registry(spark)
     for name in TABLES:
-        if name in words:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+        registry.register_source(name, "parquet", f"{sf_dir}/{name}.parquet")
+    return Engine(spark, registry)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return engine(spark, sf_dir).sql(text)

@@ -60,7 +60,7 @@ class Registry:
         parts = tuple(name.split(".")) if isinstance(name, str) else name
         if not 1 <= len(parts) <= 3 or not all(parts):
             raise ValueError(f"a table name has one to three parts: {name}")
-        return (self.catalog, self.schema, *parts)[-3:]
+        return ((self.catalog, self.schema)[: 3 - len(parts)] + parts)[:3]
 
     def register(self, name: str | tuple[str, ...], table: Table) -> None:
         key = self.full_name(name)
