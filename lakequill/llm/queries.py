@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakequill.llm import bpe, counts, discriminant, hamming, licenses, mixing, ngrams, quality, secrets, shared, tokenfile
+from lakequill.llm import bpe, counts, discriminant, hamming, licenses, mixing, ngrams, oracle, quality, secrets, shared, tokenfile
 
 WORD_BPE = "word_bpe_49k.json"
 #: Wanted shares of tokens by language.
@@ -62,7 +62,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("chars_distance", "words_distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": oracle.quality_rules()}
