@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lakequill.llm import licenses as L
 from lakequill.llm import quality as Q
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -54,3 +55,31 @@ def quality_rules() -> str:
         (d.n_words < {Q.FEWEST_WORDS} OR 100 * d.n_repeat_words > {Q.MOST_REPEATED} * d.n_words) AS base_failed,
         NOT (d.n_words < {Q.FEWEST_WORDS} OR 100 * d.n_repeat_words > {Q.MOST_REPEATED} * d.n_words) AND coalesce(k.ok, true) AS kept
     FROM docs d LEFT JOIN two_ok k ON k.id = d.id"""
+
+
+def licenses() -> str:
+    """Lines with a cue as sparse vectors, cosines to the templates, best line, nearest licence file above."""
+    idf, unknown, rows = L.template_vectors()
+    quote = lambda s: s.replace("'", "''")
+    weights = ", ".join(f"('{quote(n)}', '{quote(t)}', {w!r}::DOUBLE)" for n, t, w in rows)
+    frequencies = ", ".join(f"('{quote(t)}', {w!r}::DOUBLE)" for t, w in idf.items())
+    cue = quote(L.CUE)
+    words = lambda x: f"len(regexp_extract_all({x}, '{_WORD}'))"
+    # Sentence ends and term edges are marked first: this engine's patterns have no look-around.
+    lines = r"string_split(regexp_replace(t, '([.!?])\s+(\p{Lu})', '\1' || chr(10) || '\2', 'g'), chr(10))"
+    terms = r"regexp_split_to_array(regexp_replace(regexp_replace(lower(line) || ' ', '\.(\s)', ' \1', 'g'), '[.,]([^0-9])', ' \1', 'g'), '[^a-z0-9.+-]+')"
+    return rf"""
+    WITH templates(template, term, weight) AS (VALUES {weights}), frequencies(term, idf) AS (VALUES {frequencies}),
+    docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS t FROM documents),
+    lines AS (SELECT path, {words('t')} AS n, line, pos FROM (SELECT path, t, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS pos FROM docs WHERE regexp_matches(t, '{cue}')) WHERE regexp_matches(line, '{cue}')),
+    terms AS (SELECT path, n, pos, {words('line')} AS words, unnest(list_filter({terms}, lambda x: x <> '')) AS term FROM lines),
+    tf AS (SELECT path, n, pos, words, term, count(*) AS tf FROM terms GROUP BY ALL),
+    weighed AS (SELECT tf.*, tf * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM tf LEFT JOIN frequencies f ON f.term = tf.term),
+    norms AS (SELECT path, n, pos, words, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+    dots AS (SELECT path, pos, template, sum(w * weight) AS dot FROM weighed x JOIN templates t ON t.term = x.term GROUP BY ALL),
+    scored AS (SELECT n.*, template, round(dot / norm, 6) AS cosine FROM norms n JOIN dots d ON d.path = n.path AND d.pos = n.pos WHERE round(dot / norm, 6) >= {L.LEAST_COSINE}),
+    best AS (SELECT path, n, pos, words, max((cosine, template)) AS hit FROM scored GROUP BY ALL),
+    own AS (SELECT path, max(hit)[1] AS cosine, split_part(max(hit)[2], '#', 1) AS license, sum(words) / max(n) AS cover FROM best GROUP BY path),
+    files AS (SELECT dir, max((cosine, license))[2] AS license FROM own JOIN docs USING (path) WHERE cover >= {L.LEAST_SHARE} GROUP BY dir)
+    SELECT d.doc_id, coalesce(o.license, f.license) AS license, o.cosine, (o.license IS NULL AND f.license IS NOT NULL) AS inherited
+    FROM docs d LEFT JOIN own o ON o.path = d.path LEFT JOIN files f ON f.dir = d.dir"""

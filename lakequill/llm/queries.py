@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": oracle.quality_rules()}
+    return {"op6_licenses": oracle.licenses(), "op10_quality_rules": oracle.quality_rules()}
