@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lakequill.llm import licenses as L
 from lakequill.llm import quality as Q
+from lakequill.llm import secrets as S
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: The characters of each class; what is left is taken by difference.
@@ -83,3 +84,45 @@ def licenses() -> str:
     files AS (SELECT dir, max((cosine, license))[2] AS license FROM own JOIN docs USING (path) WHERE cover >= {L.LEAST_SHARE} GROUP BY dir)
     SELECT d.doc_id, coalesce(o.license, f.license) AS license, o.cosine, (o.license IS NULL AND f.license IS NOT NULL) AS inherited
     FROM docs d LEFT JOIN own o ON o.path = d.path LEFT JOIN files f ON f.dir = d.dir"""
+
+
+def secrets() -> str:
+    """Spans of the patterns by running lengths of pieces and matches, and the battery over other long runs."""
+    quote = lambda s: s.replace("'", "''")
+
+    def matches(rank: int, pattern: str) -> str:
+        return f"""SELECT id, {rank} AS rank, m[i] AS found, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS bigint) AS start
+            FROM (SELECT id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, string_split_regex(t, '{quote(pattern)}') AS g, regexp_extract_all(t, '{quote(pattern)}') AS m FROM docs WHERE regexp_matches(t, '{quote(pattern)}')))"""
+
+    alphabets = " ".join(f"WHEN regexp_matches(found, '{p}') THEN '{a}'" for _, p, a in S.ALPHABETS if p)
+    kinds = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(S.KINDS))
+    listed = f"coalesce(string_agg(CASE rank {kinds} END || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+    raw AS ({matches(0, S.ASSIGN)} UNION ALL {matches(1, S.ACCESS)} UNION ALL {matches(2, S.HEX)}),
+    base AS (SELECT id, rank, start, start + length(found) AS stop FROM raw WHERE rank > 0 OR length(regexp_extract(found, '{quote(S.ASSIGN)}', 2)) >= {S.ASSIGN_LEAST}),
+    runs AS (SELECT r.id, found, start, start + length(found) AS stop, length(found)::DOUBLE AS n, CASE {alphabets} ELSE '{S.ALPHABETS[-1][2]}' END AS alphabet FROM ({matches(3, S.RUN)}) r
+        WHERE regexp_matches(found, '{S.HAS_DIGIT}') AND regexp_matches(found, '{S.HAS_LETTER}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = r.id AND b.start < r.start + length(found) AND r.start < b.stop)),
+    signs AS (SELECT id, start, n, length(alphabet)::DOUBLE AS k, unnest(range(1, length(found) + 1)) AS pos, CASE WHEN length(alphabet) = 64 THEN translate(found, '-_', '+/') ELSE found END AS f, alphabet FROM runs),
+    v AS (SELECT id, start, n, k, pos, (instr(alphabet, f[pos]) - 1)::DOUBLE AS v, lead(instr(alphabet, f[pos]) - 1) OVER (PARTITION BY id, start ORDER BY pos)::DOUBLE AS w FROM signs),
+    squares AS (SELECT id, start, sum(c * c)::DOUBLE AS squares FROM (SELECT id, start, v, count(*) AS c FROM v GROUP BY id, start, v) GROUP BY id, start),
+    means AS (SELECT id, start, any_value(n) AS n, any_value(k) AS k, avg(v) AS mean, count(*) FILTER (v > (k - 1) / 2)::DOUBLE AS high, count(*) FILTER ((v > (k - 1) / 2) <> (w > (k - 1) / 2)) + 1 AS changes FROM v GROUP BY id, start),
+    serial AS (SELECT v.id, v.start, sum((v - mean) * (v - mean)) AS variance, sum((v - mean) * (w - mean)) AS joint FROM v JOIN means m ON m.id = v.id AND m.start = v.start GROUP BY v.id, v.start),
+    tested AS (SELECT m.id, m.start, m.start + m.n::BIGINT AS stop, ((greatest(k * {S.ORDINARY_SQUARES} - 1, 1.2) * (n - 1) - (squares * k / n - n - (k - 1))) / (sqrt(n) * k) - {S.ORDINARY_SHORT}) / {S.ORDINARY_SPREAD} AS below, n,
+        abs((changes - (1 + 2 * high * (n - high) / n)) / sqrt(greatest(0.25, 2 * high * (n - high) * (2 * high * (n - high) - n) / (n * n * (n - 1))))) AS runs_z,
+        abs(CASE WHEN variance > 0 THEN joint / variance ELSE 1 END * sqrt(n)) AS serial_z FROM means m JOIN squares q ON q.id = m.id AND q.start = m.start JOIN serial s ON s.id = m.id AND s.start = m.start),
+    judged AS (SELECT *, (1 / (1 + exp(greatest(-30, least(30, below)) * 1.5976 + power(greatest(-30, least(30, below)), 3) * 0.07056))) * ({S.USUAL_LENGTH} / n) AS p FROM tested),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, start, stop) AS i, count(*) OVER (PARTITION BY id) AS many FROM judged),
+    found AS (SELECT r.id, 3 AS rank, r.start, r.stop FROM ranked r JOIN (SELECT id, max(i) FILTER (p <= i * {S.LEVEL} / many) AS last FROM ranked GROUP BY id) l ON l.id = r.id AND r.i <= l.last WHERE greatest(runs_z, serial_z) <= {S.MOST_Z}),
+    b AS (SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, {listed}, '') AS spans FROM base GROUP BY id),
+    a AS (SELECT id, {listed}, '') AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM found) GROUP BY id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+    FROM docs LEFT JOIN b ON b.id = docs.id LEFT JOIN a ON a.id = docs.id"""
+
+
+def top_k(k: int = 10, dimensions: int = 64) -> str:
+    """All distances of every asked code to every code."""
+    return f"""
+    WITH codes AS (SELECT vec_id, list_transform(range(1, {dimensions + 1}), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL),
+    far AS (SELECT q.vec_id AS query_id, v.vec_id, cast(list_sum(list_transform(range(1, {dimensions + 1}), lambda i: abs(q.b[i] - v.b[i]))) AS integer) AS distance FROM codes q, codes v WHERE q.vec_id % 50 = 0)
+    SELECT query_id, cast(rank AS integer) AS rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM far) WHERE rank <= {k}"""

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": oracle.licenses(), "op10_quality_rules": oracle.quality_rules()}
+    return {"op3_secrets": oracle.secrets(), "op6_licenses": oracle.licenses(), "op7_top_k": oracle.top_k(), "op10_quality_rules": oracle.quality_rules()}
