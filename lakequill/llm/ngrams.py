@@ -9,11 +9,13 @@ blocks of columns, and only over the columns in which a pair that links must mee
   then by hash. Sizes bound the overlap of a linked pair from below, so it must share
   ``MEET`` shingles among the first ``n - ceil(t n) + MEET`` of either set. These
   prefixes are the matrix that is multiplied.
-* Within a column, every class is first paired with one pivot only. Pairs with too few
+* Within a column, every class is first paired with two pivots only. Pairs with too few
   common columns or sizes too far apart are discarded, the rest are verified on whole
   sets, and links join into components. Then only pairs of different components meet
-  again in each column. So a group of near copies costs as many pairs as it has
-  members, and no linked pair of different components is lost.
+  again in each column. So a group of near copies costs about two pairs for each
+  member, and no linked pair of different components is lost. A 512-bit parity
+  signature of each set bounds the symmetric difference from below and discards pairs
+  before they leave the column.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lakequill.llm.bpe import Memo
 from lakequill.llm.components import components
-from lakequill.llm.shared import written
+from lakequill.llm.shared import forget, looked_up, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Prefix columns that a linked pair must share.
@@ -72,6 +74,15 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+SIGNATURE = [f"s{k}" for k in range(8)]
+
+
+def signature(shingles: np.ndarray) -> list[int]:
+    """512 parities of a set, by the low bits of its hashes: two sets differ in at least as many elements as their signatures in bits."""
+    odd = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many shingles, in the global order, a set of n puts into the product."""
     return min(n, n - -(-percent * n // 100) + MEET)
@@ -88,24 +99,27 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
         shingler, seen = Shingler(k), set()
         block: list[np.ndarray] = []
         held = 0
-        kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], ["kind", "doc_id", "n", "hi", "lo"]
+        names = ["kind", "doc_id", "n", "hi", "lo", *SIGNATURE]
+        kinds = [pa.int32(), *[pa.int64()] * (4 + len(SIGNATURE))]
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *block]), return_counts=True)
             keep = counts >= OFTEN
             many = int(keep.sum())
-            return _batch([[1] * many, [None] * many, counts[keep], values[keep].astype(np.int64), [0] * many], kinds, names)
+            return _batch([[1] * many, [None] * many, counts[keep], values[keep].astype(np.int64), *[[None] * many] * (1 + len(SIGNATURE))], kinds, names)
 
         for batch in batches:
-            sizes, his, los = [], [], []
+            sizes, his, los, signs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler(text)
                 sizes.append(len(s))
                 if not len(s):
                     his.append(None)
                     los.append(None)
+                    signs.append([None] * len(SIGNATURE))
                     continue
                 key = digest(s)
+                signs.append(signature(s))
                 his.append(key[0])
                 los.append(key[1])
                 if key not in seen:
@@ -115,10 +129,11 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
                     if held >= BLOCK_SHINGLES:
                         yield frequent()
                         block, held, seen = [], 0, set()
-            yield _batch([[0] * len(sizes), batch.column(0).to_pylist(), sizes, his, los], kinds, names)
+            columns = [[0] * len(sizes), batch.column(0).to_pylist(), sizes, his, los, *([x[k] for x in signs] for k in range(len(SIGNATURE)))]
+            yield _batch(columns, kinds, names)
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, hi long, lo long")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, hi long, lo long, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, often: np.ndarray, levels: np.ndarray) -> DataFrame:
@@ -162,6 +177,12 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def _near(percent: int) -> Column:
+    """Whether sizes n, n2 and signatures s, t allow a link."""
+    bits = " + ".join(f"bit_count(s{k} ^ t{k})" for k in range(len(SIGNATURE)))
+    return F.expr(f"{100 + percent} * ({bits}) <= {100 - percent} * (n + n2)")
+
+
 def _bit_filter(ids: DataFrame) -> DataFrame:
     """(bucket, bits): a bitmap over hashes of ``doc_id``; at most FILTER_BITS / 32768 rows of 4 KB."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
@@ -196,9 +217,13 @@ def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
 
 def _links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (hi, lo, hi2, lo2) whose whole sets link, as (u, v): documents that stand for them."""
-    pairs = written(pairs, "pairs")
+    mine = reps.select("hi", "lo", "n", *SIGNATURE)
+    theirs = reps.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
+    pairs = written(pairs.join(mine, ["hi", "lo"]).join(theirs, ["hi2", "lo2"]).filter(_near(percent)).select("hi", "lo", "hi2", "lo2"), "pairs")
+    reps = reps.select("hi", "lo", "doc_id")
     ends = pairs.select("hi", "lo").union(pairs.select("hi2", "lo2")).distinct()
-    sets = written(_sets(docs, ends.join(reps, ["hi", "lo"]), k).dropDuplicates(["hi", "lo"]), "sets").join(reps, ["hi", "lo"])
+    whole = written(_sets(docs, ends.join(reps, ["hi", "lo"]), k).dropDuplicates(["hi", "lo"]), "sets")
+    sets = whole.join(reps, ["hi", "lo"])
     one = sets.select("hi", "lo", F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(one, ["hi", "lo"]).join(two, ["hi2", "lo2"]).select("u", "v", "a", "b")
@@ -214,7 +239,9 @@ def _links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent:
                 keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    links = written(both.mapInArrow(run, "u long, v long"), "links")
+    forget(pairs, whole)
+    return links
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,36 +256,42 @@ def ngram_jaccard(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = written(_classes_and_counts(docs, k), "classes")
-    rows = first.filter("kind = 0").select("doc_id", "n", "hi", "lo")
+    rows = first.filter("kind = 0").select("doc_id", "n", "hi", "lo", *SIGNATURE)
     counted = first.filter("kind = 1").groupBy("hi").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "hi").limit(MOST_OFTEN).toPandas()  # a bounded list, 2 MB at most
     top = top.sort_values("hi")
     often, levels = top["hi"].to_numpy(np.uint64), np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)).astype(np.int64)
 
-    reps = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
+    same = (F.max(c).alias(c) for c in ("n", *SIGNATURE))  # equal in all rows of a class
+    reps = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *same), "reps")
     by_token = Window.partitionBy("token")
     key = F.struct("hi", "lo")
     columns = _prefixes(docs, k, percent, often, levels).repartition("token").dropDuplicates(["token", "hi", "lo", "n"])
-    columns = columns.withColumns({"height": F.count("*").over(by_token), "pivot": F.min(F.struct("hi", "lo", "n")).over(by_token)})
-    met = written(columns.filter("height > 1").select("token", "hi", "lo", "n", F.col("pivot.hi").alias("hi2"), F.col("pivot.lo").alias("lo2"), F.col("pivot.n").alias("n2")), "columns")
+    this = F.struct("hi", "lo", "n")
+    columns = columns.withColumns({"height": F.count("*").over(by_token), "first": F.min(this).over(by_token), "last": F.max(this).over(by_token)})
+    met = written(columns.filter("height > 1").drop("height"), "columns")
 
-    stars = met.filter("hi <> hi2 or lo <> lo2").filter(_alike("n", "n2", percent))
+    pivots = F.explode(F.array("first", "last")).alias("pivot")
+    stars = met.select("hi", "lo", "n", pivots).select("hi", "lo", "n", F.col("pivot.hi").alias("hi2"), F.col("pivot.lo").alias("lo2"), F.col("pivot.n").alias("n2"))
+    stars = stars.filter("hi <> hi2 or lo <> lo2").filter(_alike("n", "n2", percent))
     stars = stars.groupBy("hi", "lo", "hi2", "lo2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= MEET)
-    links = written(_links(docs, stars.drop("shared"), reps, k, percent), "links")
+    links = _links(docs, stars.drop("shared"), reps, k, percent)
     named = components(links, "u", "v")
 
-    classes = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", F.coalesce("component", "doc_id").alias("label"))
+    classes = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", *SIGNATURE, F.coalesce("component", "doc_id").alias("label"))
     labelled = met.select("token", "hi", "lo", "n").join(classes, ["hi", "lo"])
     labelled = labelled.withColumns({"least": F.min("label").over(by_token), "most": F.max("label").over(by_token), "home": F.min_by("label", key).over(by_token)})
-    mixed = written(labelled.filter("least < most").select("token", "hi", "lo", "n", "label", (F.col("label") != F.col("home")).alias("away")), "mixed")
-    other = mixed.select("token", *(F.col(c).alias(c + "2") for c in ("hi", "lo", "n", "label", "away")))
-    again = mixed.filter("away").join(other, "token").filter("label <> label2 and (not away2 or hi < hi2 or (hi = hi2 and lo < lo2))").filter(_alike("n", "n2", percent))
+    mixed = written(labelled.filter("least < most").select("token", "hi", "lo", "n", *SIGNATURE, "label", (F.col("label") != F.col("home")).alias("away")), "mixed")
+    forget(met)
+    other = mixed.select("token", *(F.col(c).alias(c + "2") for c in ("hi", "lo", "n", "label", "away")), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
+    again = mixed.filter("away").join(other, "token").filter("label <> label2 and (not away2 or hi < hi2 or (hi = hi2 and lo < lo2))").filter(_alike("n", "n2", percent)).filter(_near(percent))
     again = again.select(*(F.expr(f"if(hi < hi2 or (hi = hi2 and lo < lo2), {a}, {b})").alias(c) for a, b, c in (("hi", "hi2", "hi"), ("lo", "lo2", "lo"), ("hi2", "hi", "hi2"), ("lo2", "lo", "lo2"))))
     again = again.groupBy("hi", "lo", "hi2", "lo2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= MEET)
-    more = written(_links(docs, again.drop("shared"), reps, k, percent), "more")
+    more = _links(docs, again.drop("shared"), reps, k, percent)
+    forget(mixed)
     if not more.isEmpty():
         named = components(links.union(more), "u", "v")
 
-    final = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", F.coalesce("component", "doc_id").alias("component_id"))
-    found = rows.filter("n > 0").join(final, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    final = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", "copies", F.coalesce("component", "doc_id").alias("component_id"))
+    found = looked_up(rows.filter("n > 0").select("doc_id", "n", "hi", "lo"), final, ["hi", "lo"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))

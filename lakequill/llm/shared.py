@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
@@ -33,7 +35,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lost executors cost no recomputation."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.lakequill_path = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read again, and let Spark drop shuffle files that nothing refers to."""
+    for t in tables:
+        drop(t.sparkSession, t.lakequill_path)
+        _WRITTEN.remove(t.lakequill_path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -45,3 +58,20 @@ def drop_written(spark: SparkSession) -> None:
     """Remove all tables of finished operator calls; their results must have been stored."""
     while _WRITTEN:
         drop(spark, _WRITTEN.pop())
+
+
+#: Keys that looked_up() takes out of its shuffle.
+HOT_KEYS = 512
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row for each key and the key's number of rows in ``weight``.
+
+    The HOT_KEYS keys with most rows go by a broadcast of that many rows, so that no task
+    gets a hot key's rows; all others are dealt out by key. No row is lost or repeated.
+    """
+    lookup = written(lookup, "lookup")
+    hot = F.broadcast(lookup.orderBy(F.desc(weight), *keys).limit(HOT_KEYS).drop(weight))
+    lead = rows.join(hot, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.drop(weight), keys, how)
+    return lead.unionByName(rest)
