@@ -81,6 +81,14 @@ class Engine:
         text = lexer.rename_tables(text, view_of)
         return self.spark.sql(text, args={f"p{n}": params[n - 1] for n in used}) if used else self.spark.sql(text)
 
+    def register_function(self, name: str, function: Any) -> None:
+        """A scalar or aggregate user function (best a pandas UDF) for SQL texts."""
+        self.spark.udf.register(name, function)
+
+    def register_table_function(self, name: str, function: Any) -> None:
+        """A user table function for FROM clauses."""
+        self.spark.udtf.register(name, function)
+
     @staticmethod
     def _view(name: str, df: DataFrame) -> str:
         df.createOrReplaceTempView(name)
