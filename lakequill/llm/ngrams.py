@@ -9,7 +9,8 @@ blocks of columns, and only over the columns in which a pair that links must mee
   then by hash. Sizes bound the overlap of a linked pair from below, so it must share
   ``MEET`` shingles among the first ``n - ceil(t n) + MEET`` of either set. These
   prefixes are the matrix that is multiplied.
-* Within a column, every class is first paired with two pivots only. Pairs with too few
+* Within a column, every class is first paired with two pivots only: the class that shares
+  most of its prefix, and the first. Pairs with too few
   common columns or sizes too far apart are discarded, the rest are verified on whole
   sets, and links join into components. Then only pairs of different components meet
   again in each column. So a group of near copies costs about two pairs for each
@@ -267,21 +268,25 @@ def ngram_jaccard(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     by_token = Window.partitionBy("token")
     key = F.struct("hi", "lo")
     columns = _prefixes(docs, k, percent, often, levels).repartition("token").dropDuplicates(["token", "hi", "lo", "n"])
-    this = F.struct("hi", "lo", "n")
-    columns = columns.withColumns({"height": F.count("*").over(by_token), "first": F.min(this).over(by_token), "last": F.max(this).over(by_token)})
-    met = written(columns.filter("height > 1").drop("height"), "columns")
-
-    pivots = F.explode(F.array("first", "last")).alias("pivot")
-    stars = met.select("hi", "lo", "n", pivots).select("hi", "lo", "n", F.col("pivot.hi").alias("hi2"), F.col("pivot.lo").alias("lo2"), F.col("pivot.n").alias("n2"))
+    met = written(columns.withColumn("height", F.count("*").over(by_token)).filter("height > 1").drop("height"), "columns")
+
+    # Of near copies, those with the fewest changes share most of their prefix: they are the best pivots.
+    central = met.groupBy("hi", "lo", "n").agg(F.count("*").alias("met"))
+    central = central.select("hi", "lo", F.expr(f"cast(1000 * met / (n - ceil({percent} * n / 100) + {MEET}) as int)").alias("central"))
+    marked = met.join(central, ["hi", "lo"])
+    marked = marked.withColumns({"first": F.min(F.struct("hi", "lo", "n")).over(by_token), "best": F.max(F.struct("central", "hi", "lo", "n")).over(by_token)})
+    pivots = F.explode(F.array("first", F.struct("best.hi", "best.lo", "best.n"))).alias("pivot")
+    stars = marked.select("hi", "lo", "n", pivots).select("hi", "lo", "n", F.col("pivot.hi").alias("hi2"), F.col("pivot.lo").alias("lo2"), F.col("pivot.n").alias("n2"))
     stars = stars.filter("hi <> hi2 or lo <> lo2").filter(_alike("n", "n2", percent))
     stars = stars.groupBy("hi", "lo", "hi2", "lo2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= MEET)
     links = _links(docs, stars.drop("shared"), reps, k, percent)
     named = components(links, "u", "v")
 
     classes = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", *SIGNATURE, F.coalesce("component", "doc_id").alias("label"))
-    labelled = met.select("token", "hi", "lo", "n").join(classes, ["hi", "lo"])
+    labelled = met.select("token", "hi", "lo", "n").join(classes.select("hi", "lo", "label"), ["hi", "lo"])
     labelled = labelled.withColumns({"least": F.min("label").over(by_token), "most": F.max("label").over(by_token), "home": F.min_by("label", key).over(by_token)})
-    mixed = written(labelled.filter("least < most").select("token", "hi", "lo", "n", *SIGNATURE, "label", (F.col("label") != F.col("home")).alias("away")), "mixed")
+    mixed = labelled.filter("least < most").select("token", "hi", "lo", "n", "label", (F.col("label") != F.col("home")).alias("away"))
+    mixed = written(mixed.join(classes.select("hi", "lo", *SIGNATURE), ["hi", "lo"]), "mixed")
     forget(met)
     other = mixed.select("token", *(F.col(c).alias(c + "2") for c in ("hi", "lo", "n", "label", "away")), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
     again = mixed.filter("away").join(other, "token").filter("label <> label2 and (not away2 or hi < hi2 or (hi = hi2 and lo < lo2))").filter(_alike("n", "n2", percent)).filter(_near(percent))
