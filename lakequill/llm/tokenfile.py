@@ -44,7 +44,9 @@ def train_dictionary(docs: DataFrame, spec: str, end_id: int, width: int, id_col
     """A shared dictionary; b'' if there are too few documents to train one."""
     key = F.col(id_col).cast("long")
     sample = docs.select(key.alias("k"), F.col(text_col).cast("string").alias("t")).filter(F.length("t").between(1, DICTIONARY_CHARS))
-    rows = sample.orderBy(F.xxhash64("k"), "k", "t").limit(DICTIONARY_DOCS).collect()
+    # Ids first: each task sends its least hashes only, not the texts behind them.
+    keys = [r.k for r in sample.select("k").orderBy(F.xxhash64("k"), "k").limit(DICTIONARY_DOCS).collect()]
+    rows = sample.filter(F.col("k").isin(keys)).orderBy(F.xxhash64("k"), "k", "t").limit(DICTIONARY_DOCS).collect() if keys else []
     ids, counts = encoder_of(spec).encode([r.t for r in rows])
     cuts = np.split(ids, np.cumsum(counts)[:-1]) if rows else []
     samples = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in cuts]
