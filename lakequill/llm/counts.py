@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.llm.bpe import encoder_of
-from lakequill.llm.shared import written
+from lakequill.llm.shared import looked_up, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -75,7 +75,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
     # One row stands for each content: the one with the least id. Digests are combined before they are dealt out.
-    misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(cache.select("digest"), "digest", "left_anti")
+    contents = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    misses = contents.drop("copies").join(cache.select("digest"), "digest", "left_anti")
     todo = rows.join(misses.withColumnRenamed("digest", "missing").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("missing"))).select("digest", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,4 +90,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
 
     # Runs that share a cache may have added a content twice; their counts are equal.
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return looked_up(keyed, contents.select("digest", "copies").join(known, "digest", "left"), ["digest"], "copies").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
