@@ -76,7 +76,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, id_co
         for j in range(many):  # met before: at a smaller radius, or in an earlier segment at this one
             first = first & F.when(F.col("seg") > j, apart(j) > radius).otherwise(apart(j) >= radius)
         distance = sum((F.bit_count(F.col(f"q{w}").bitwiseXOR(F.col(f"c{w}"))) for w in range(words)), F.lit(0))
-        met = probes.join(index, ["seg", "value"]).filter(first).select(*q_names, *names, "mult", "least", distance.cast("int").alias("distance"))
+        # Probes are many times the rows that Spark expects of them: never a side to broadcast.
+        met = probes.hint("merge").join(index, ["seg", "value"]).filter(first).select(*q_names, *names, "mult", "least", distance.cast("int").alias("distance"))
         pool = met if best is None else met.union(best)
         order = Window.partitionBy(*q_names).orderBy("distance", "least", *names)
         best = written(pool.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r"), "best")
