@@ -59,32 +59,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, id_co
 
     asked = written(coded(queries, "query_id").distinct(), "queries").withColumnsRenamed({n: f"q{w}" for w, n in enumerate(names)})
     q_names = [f"q{w}" for w in range(words)]
-    active = asked.select(*q_names).distinct()
+    active = asked.select(*q_names).distinct().withColumn("bound", F.lit(64 * words))
     best = None
     apart = lambda j: F.bit_count(_segments(words, "q")[j].bitwiseXOR(_segments(words, "c")[j]))
     for radius in range(SEGMENT + 1):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), radius)]
         flips = F.explode(F.array(*map(F.lit, masks))) if len(masks) < 2000 else None
-        probes = active.select(*q_names, F.explode(F.array(*(F.struct(F.lit(j).alias("seg"), v.alias("own")) for j, v in enumerate(_segments(words, "q"))))).alias("e"))
+        probes = active.select(*q_names, "bound", F.explode(F.array(*(F.struct(F.lit(j).alias("seg"), v.alias("own")) for j, v in enumerate(_segments(words, "q"))))).alias("e"))
         if flips is not None:
-            probes = probes.select(*q_names, "e.seg", "e.own", flips.alias("mask"))
+            probes = probes.select(*q_names, "bound", "e.seg", "e.own", flips.alias("mask"))
         else:  # the same masks from a range of numbers
             every = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda m: F.bit_count(m) == radius)
-            probes = probes.select(*q_names, "e.seg", "e.own", F.explode(every).alias("mask"))
-        probes = probes.select(*q_names, "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+            probes = probes.select(*q_names, "bound", "e.seg", "e.own", F.explode(every).alias("mask"))
+        probes = probes.select(*q_names, "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         first = F.lit(True)
         for j in range(many):  # met before: at a smaller radius, or in an earlier segment at this one
             first = first & F.when(F.col("seg") > j, apart(j) > radius).otherwise(apart(j) >= radius)
         distance = sum((F.bit_count(F.col(f"q{w}").bitwiseXOR(F.col(f"c{w}"))) for w in range(words)), F.lit(0))
         # Probes are many times the rows that Spark expects of them: never a side to broadcast.
-        met = probes.hint("merge").join(index, ["seg", "value"]).filter(first).select(*q_names, *names, "mult", "least", distance.cast("int").alias("distance"))
+        met = probes.hint("merge").join(index, ["seg", "value"]).filter(first & (distance <= F.col("bound"))).select(*q_names, *names, "mult", "least", distance.cast("int").alias("distance"))
         pool = met if best is None else met.union(best)
         order = Window.partitionBy(*q_names).orderBy("distance", "least", *names)
         best = written(pool.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r"), "best")
         sums = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         kth = best.withColumn("until", F.sum("mult").over(sums)).filter(F.col("until") >= k).groupBy(*q_names).agg(F.min("distance").alias("kth"))
-        done = kth.filter(F.col("kth") <= many * (radius + 1) - 1)
-        active = written(active.join(done.select(*q_names), q_names, "left_anti"), "active")
+        # Who goes on needs codes no farther than its kth best so far.
+        going = active.drop("bound").join(kth, q_names, "left").filter(F.col("kth").isNull() | (F.col("kth") > many * (radius + 1) - 1))
+        active = written(going.select(*q_names, F.coalesce("kth", F.lit(64 * words)).cast("int").alias("bound")), "active")
         if active.isEmpty():
             break
     hits = asked.join(best.drop("mult", "least"), q_names).join(members.select(*names, "id"), names)
