@@ -4,14 +4,16 @@ Base kinds are patterns. The method looks at other long runs of code-like charac
 for each it infers the encoding, and a battery of tests asks how far the run is from
 ordinary text and whether it is random over the alphabet of that encoding:
 
-* chi-squared of the symbol counts against a uniform alphabet,
+* chi-squared of the symbol counts against a uniform alphabet, by its exact mean and
+  variance for this length and alphabet,
 * Wald-Wolfowitz runs of symbols above and below the middle of the alphabet,
 * serial correlation of neighbouring symbol values.
 
-Ordinary identifiers and words are the null hypothesis: their chi-squared grows with
-their length, as their symbols are far from uniform. Its p-value, weighted by the length
-of the run, goes through Benjamini-Hochberg over the runs of a document; runs and serial
-correlation must not speak against randomness. What remains is reported as ``random``.
+Ordinary identifiers and words are the null hypothesis: a Markov chain over the symbols
+of the alphabet. The likelihood of a run under it over that under randomness bounds its
+p-value, at any length: the inverse of that ratio has mean 1 under the null. Weighted by
+the length of the run, p-values go through Benjamini-Hochberg over the runs of a document;
+the three tests must not speak against randomness. What remains is reported as ``random``.
 
 Positions come from the pieces between matches: split and extract_all cut a text at the
 same places, so running sums of their lengths are the starts, in code points.
@@ -19,6 +21,8 @@ same places, so running sums of their lengths are the starts, in code points.
 
 from __future__ import annotations
 
+import math
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +37,25 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the battery looks at.
 RUN = "[A-Za-z0-9+/_-]{20,}"
 HAS_DIGIT, HAS_LETTER = "[0-9]", "[A-Za-z]"
-#: False-discovery level, length at which a run has weight 1, and the bound on |z| of the
-#: two tests of order.
-LEVEL, USUAL_LENGTH, MOST_Z = 0.001, 32, 3.0
-#: Ordinary text over k symbols: English-like letters fill 26 of them unevenly, so chi-squared
-#: is over that of random text by (length - 1) * (k * 0.066 - 1). Identifiers in source code
-#: (5,000 of 20 characters and more) fall short of this by 0.055 * k * sqrt(length), with a
-#: standard deviation of 0.06 * k * sqrt(length).
-ORDINARY_SQUARES, ORDINARY_SHORT, ORDINARY_SPREAD = 0.066, 0.055, 0.06
+#: False-discovery level, and the bounds on |z| of the two tests of order and on chi-squared,
+#: in standard deviations over its mean (at 3.9 or less in 99.5 % of random runs).
+LEVEL, MOST_Z, MOST_SQUARES = 0.001, 3.0, 4.0
+#: Neighbouring symbols of 107,516 distinct identifiers and words of 8 to 60 characters in
+#: Python sources: rows and columns are a to z in either case, a digit, one of +/_-; each
+#: place is the binary logarithm of the count and one, rounded down, as a digit of base 36.
+FOLLOWS = (
+    "7bcc79b6b6adcd5b6dceba89a69b", "b887b665a95b76a72a97b4549589", "c7a9c87cb3cb88d95bacb655848b", "c99ad987c66a98b84aa9a775849c",
+    "c9ddbbb8a68ccd9baedd8baca79e", "b788aa75c24a67c63a89a455839a", "a787d78aa26a8a971ba99554656c", "c677c656a26886b7398b8543826b",
+    "baccbac5758cbedb6bcdaa5a4a6a", "8235932262533375018282503046", "9687c686b447687757979673625b", "c99bd987d57c87c948bbb863a57c",
+    "da88d765b26aa8bc57a8a557826b", "c8cddbd8b69a9ac969cdaa76857d", "aabc7aa6a7accebb4dbbcab9667b", "c789c78aa28b87cb5caba764a67b",
+    "31352332410854244664b4311137", "d8bbe9a7d3aabad95bcca985b37c", "b7b9d98bc5aa99bb98ceb886a38c", "d8baea8cd58aa8ca6dbbb898b68d",
+    "aa99b993b15bbc8b0cbc553724b8", "b585c664a2256787267644526389", "a5779659b16769a61a965554315a", "7696a6459236856a357b4556838a",
+    "878887758349998b38aa5675656b", "8334a30380145174227533105457", "99899944544655463576565621eb", "cbdcccbbc8accbbc8cdcbbb977bc",
+)
+#: Share of letters, where an alphabet has both cases, in the case of the letter before, or lower after another symbol.
+SAME_CASE = 0.85
+#: Numbers of the oracle text, whose battery has another null distribution.
+USUAL_LENGTH, ORDINARY_SQUARES, ORDINARY_SHORT, ORDINARY_SPREAD = 32, 0.066, 0.055, 0.06
 ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("hex", "^[0-9A-F]+$", "0123456789ABCDEF"),
@@ -67,14 +82,34 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, first, step, lambda acc: acc["spans"])).otherwise(none)
 
 
-def _upper_p(z: Column) -> Column:
-    """P(Z >= z) of a standard normal variable, by the logistic form of Bowling and others (error under 1.5e-4)."""
-    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-    return 1 / (1 + F.exp(x * 1.5976 + x * x * x * 0.07056))
+@cache
+def ratios(alphabet: str) -> tuple[int, ...]:
+    """For each pair of symbols, row by row: log of (1 / k) over the second's share after the first in identifiers of this alphabet, in hundredths."""
+    group = lambda c: 26 if c.isdigit() else ord(c.lower()) - 97 if c.isalpha() else 27
+    members = [sum(group(c) == g for c in alphabet.lower() if not c.isalpha()) for g in range(28)]
+    both = alphabet.lower() != alphabet and alphabet.upper() != alphabet
+    found = []
+    for a in alphabet:
+        weights = []
+        for b in alphabet:
+            w = 1.5 * 2.0 ** int(FOLLOWS[group(a)][group(b)], 36)
+            if not b.isalpha():
+                w /= members[group(b)]
+            elif both:
+                w *= SAME_CASE if b.isupper() == a.isupper() else 1 - SAME_CASE
+            weights.append(w)
+        found += [round(100 * math.log(sum(weights) / w / len(alphabet))) for w in weights]
+    return tuple(found)
+
+
+def _ratio_table(found: Column) -> Column:
+    """The array of ratios() of the run's alphabet; a constant in each branch."""
+    tables = (F.split(F.lit(",".join(map(str, ratios(a)))), ",").cast("array<int>") for _, _, a in ALPHABETS)
+    return F.coalesce(*(F.when(found.rlike(p), t) if p else t for (_, p, _), t in zip(ALPHABETS, tables)))
 
 
 def _tested(run: Column) -> Column:
-    """struct<start, stop, p, ordered> of one run, which must not be empty."""
+    """struct<start, stop, length, k, chi2, values, table> of one run, which must not be empty."""
     found = run["found"]
     length = F.length(found).cast("double")
     alphabet = F.coalesce(*(F.when(found.rlike(p), F.lit(a)) if p else F.lit(a) for _, p, a in ALPHABETS))
@@ -86,22 +121,20 @@ def _tested(run: Column) -> Column:
     squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(F.when(k == 64, plain).otherwise(found)) - F.length(F.replace(F.when(k == 64, plain).otherwise(found), c, F.lit(""))), F.lit(2.0)))
     return F.struct(
         run["start"].alias("start"), run["stop"].alias("stop"), length.alias("length"), k.alias("k"),
-        (squares * k / length - length).alias("chi2"), values.alias("values"),
+        (squares * k / length - length).alias("chi2"), values.alias("values"), _ratio_table(found).alias("table"),
     )
 
 
 def _judged(t: Column) -> Column:
-    """struct<start, stop, p, z> from a run's values: weighted p of ordinary text, and the larger |z| of the tests of order."""
+    """struct<p, start, stop, length, random> from a run's values: p of ordinary text, and whether the tests leave it random."""
     n, k, values = t["length"], t["k"], t["values"]
-    ordinary = k * ORDINARY_SQUARES - 1
-    ordinary = F.greatest(ordinary, F.lit(1.2))
-    # How far chi-squared is below that of ordinary text, in standard deviations.
-    below = ((ordinary * (n - 1) - (t["chi2"] - (k - 1))) / (F.sqrt(n) * k) - ORDINARY_SHORT) / ORDINARY_SPREAD
-    p = _upper_p(below) * (F.lit(float(USUAL_LENGTH)) / n)
+    pairs = F.zip_with(F.slice(values, F.lit(1), n.cast("int") - 1), F.slice(values, F.lit(2), n.cast("int") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    ratio = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.element_at(t["table"], (x["a"] * k + x["b"]).cast("int") + 1))
+    p = F.exp(F.least(F.lit(0.0), ratio / F.lit(-100.0)))
+    squares_z = (t["chi2"] - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
     middle = (k - 1) / 2
     high = F.size(F.filter(values, lambda v: v > middle)).cast("double")
     low = n - high
-    pairs = F.zip_with(F.slice(values, F.lit(1), n.cast("int") - 1), F.slice(values, F.lit(2), n.cast("int") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     changes = F.size(F.filter(pairs, lambda x: (x["a"] > middle) != (x["b"] > middle))) + 1
     expected = 1 + 2 * high * low / n
     spread = F.sqrt(F.greatest(F.lit(0.25), 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))))
@@ -110,15 +143,21 @@ def _judged(t: Column) -> Column:
     variance = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
     joint = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + (x["a"] - mean) * (x["b"] - mean))
     serial_z = F.when(variance > 0, joint / variance).otherwise(F.lit(1.0)) * F.sqrt(n)
-    return F.struct(p.alias("p"), t["start"].alias("start"), t["stop"].alias("stop"), F.greatest(F.abs(runs_z), F.abs(serial_z)).alias("z"))
+    random = (F.greatest(F.abs(runs_z), F.abs(serial_z)) <= MOST_Z) & (squares_z <= MOST_SQUARES)
+    return F.struct(p.alias("p"), t["start"].alias("start"), t["stop"].alias("stop"), n.alias("length"), random.alias("random"))
+
+
+def _weighted(judged: Column, total: Column) -> Column:
+    """Sorted array of struct<p, start, stop, random>: p over the run's length, in mean lengths of the document's runs."""
+    weighted = F.transform(judged, lambda x: F.struct((x["p"] * total / F.size(judged) / x["length"]).alias("p"), x["start"].alias("start"), x["stop"].alias("stop"), x["random"].alias("random")))
+    return F.array_sort(weighted)
 
 
-def _discovered(judged: Column) -> Column:
+def _discovered(ordered: Column) -> Column:
     """Benjamini-Hochberg: the runs up to the last whose p is within its share of the level."""
-    ordered = F.array_sort(judged)
     many = F.size(ordered)
     last = F.aggregate(F.transform(ordered, lambda x, i: F.when(x["p"] <= (i + 1) * LEVEL / many, i + 1).otherwise(0)), F.lit(0), lambda acc, v: F.greatest(acc, v))
-    return F.filter(F.slice(ordered, F.lit(1), last), lambda x: x["z"] <= MOST_Z)
+    return F.filter(F.slice(ordered, F.lit(1), last), lambda x: x["random"])
 
 
 def _listed(spans: Column) -> Column:
@@ -151,9 +190,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", prefix: str = "") -> D
     staged = staged.withColumn(f"__{prefix}runs", runs)
     none = F.array().cast(SPAN)
     judged = F.transform(F.transform(F.col(f"__{prefix}runs"), _tested), _judged)
-    random = F.when(F.size(f"__{prefix}runs") > 0, _as_spans(_discovered(judged), 3)).otherwise(none)
+    some = F.size(f"__{prefix}runs") > 0
+    staged = staged.withColumn(f"__{prefix}judged", F.when(some, judged))
+    staged = staged.withColumn(f"__{prefix}total", F.aggregate(F.col(f"__{prefix}judged"), F.lit(0.0), lambda acc, x: acc + x["length"]))
+    staged = staged.withColumn(f"__{prefix}ordered", F.when(some, _weighted(F.col(f"__{prefix}judged"), F.col(f"__{prefix}total"))))
+    random = F.when(some, _as_spans(_discovered(F.col(f"__{prefix}ordered")), 3)).otherwise(none)
     staged = staged.withColumn(f"{prefix}found", F.array_sort(F.concat(F.col(f"{prefix}base"), random)))
-    return staged.drop(t, *(f"__{prefix}m{k}" for k in range(4)), f"__{prefix}runs")
+    return staged.drop(t, *(f"__{prefix}m{k}" for k in range(4)), *(f"__{prefix}{c}" for c in ("runs", "judged", "total", "ordered")))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
