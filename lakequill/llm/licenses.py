@@ -1,15 +1,19 @@
 """License scans (operator 6), by column expressions only.
 
-Lines (and sentences) that hold a licence cue are sparse TF-IDF vectors; their cosine to
-each template says which licence they name. A document takes its best line. A document
-is a licence file if its base name says so or such lines make up half of its words; it
-speaks for its directory, and documents without a licence of their own inherit from the
+Lines (and sentences) that hold a licence cue are sparse TF-IDF vectors, and so are the
+blocks of lines around a cue, joined and without comment marks; their cosine to each
+notice says which licence they name. Whole texts with a cue, and their pieces between
+blank lines (a comment with its empty comment lines is one), are compared with the full
+licence texts. A document takes its best hit; a named licence goes before a reservation of
+all rights. A document is a licence file if its base name says so, if such lines or blocks
+make up half of its words, or if it is as a whole near a licence text; it speaks for its directory, and documents without a licence of their own inherit from the
 nearest directory above them that has one.
 """
 
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -32,10 +36,19 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
 CUE = "(?i)licen[sc]e|copyright|spdx|permission is hereby granted|redistribution and use|public domain|all rights reserved"
+#: The cue where its words may be on two lines, with comment marks between them.
+WRAPPED_CUE = "(?i)licen[sc]e|copyright|spdx|permission\\W+is\\W+hereby\\W+granted|redistribution\\W+and\\W+use|public\\W+domain|all\\W+rights\\W+reserved"
+#: Licences whose full text is in license_texts.
+FULL_TEXTS = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0")
+#: Marks at the ends of comment lines, and what parts blocks once they are gone.
+MARK = "(?m)^[\\x20\\t]*(?:/\\*+|\\*+/|\\*+|//+|#+|--+|;+|%+|<!--|\"\"\"|\'\'\')[\\x20\\t]*|[\\x20\\t\\r]*(?:\\*/|-->)?[\\x20\\t\\r]*$"
+BLOCK = "\\n[\\x20\\t]*\\n"
 LINE = "\\n|(?<=[.!?])\\s+(?=\\p{Lu})"
 TERM = "[^a-z0-9.+-]+|\\.(?=\\s|$)|[.,](?=[^0-9])"
 FILE_NAME = "(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\\.[a-z]+)?$"
 LEAST_COSINE, LEAST_SHARE = 0.7, 0.5
+#: Least cosine of a whole text or piece, in logarithms of term counts, to a full licence text.
+LEAST_WHOLE = 0.8
 
 
 def terms_of(text: str) -> list[str]:
@@ -58,27 +71,58 @@ def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, str, fl
     return idf, math.log(1 + len(texts)) + 1, rows
 
 
+def full_text(name: str) -> str:
+    return pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+
+
+def full_vectors() -> tuple[dict[str, float], float, list[tuple[str, str, float]]]:
+    """As template_vectors(), of the full texts, where a term that occurs n times counts 1 + ln(n)."""
+    texts = [(name, terms_of(full_text(name))) for name in FULL_TEXTS]
+    seen: dict[str, int] = {}
+    for _, terms in texts:
+        for t in set(terms):
+            seen[t] = seen.get(t, 0) + 1
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in seen.items()}
+    rows = []
+    for name, terms in texts:
+        weights = {t: (1 + math.log(terms.count(t))) * idf[t] for t in set(terms)}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        rows += [(f"{name}#text", t, w / norm) for t, w in weights.items()]
+    return idf, math.log(1 + len(texts)) + 1, rows
+
+
 def _n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
 
 
 def own_licenses(docs: DataFrame) -> DataFrame:
-    """(key, license, cosine, cover) for rows (key, text) with a line that names a licence; ``cover`` is the share of words in such lines."""
+    """(key, license, cosine, cover) for rows (key, text) that name a licence; ``cover`` is the share of words in lines, blocks or pieces that do, 1 for a licence text."""
     spark = docs.sparkSession
-    idf, unknown, rows = template_vectors()
-    templates = spark.createDataFrame(rows, "template string, term string, weight double")
-    frequencies = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    cued = docs.filter(F.col("text").rlike(CUE)).withColumn("n", _n_words(F.col("text")))
-    lines = cued.select("key", "n", F.posexplode(F.filter(F.split("text", LINE), lambda x: x.rlike(CUE))).alias("at", "line"))
-    terms = lines.select("key", "n", "at", _n_words(F.col("line")).alias("words"), F.explode(F.filter(F.split(F.lower("line"), TERM), lambda t: t != "")).alias("term"))
-    counted = terms.groupBy("key", "n", "at", "words", "term").agg(F.count("*").alias("tf"))
-    # Both tables of templates are parameters of this module, a few hundred rows.
-    weighed = counted.join(F.broadcast(frequencies), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighed.groupBy("key", "n", "at", "words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(templates), "term").groupBy("key", "at", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = norms.join(dots, ["key", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= LEAST_COSINE)
-    best = scored.groupBy("key", "n", "at", "words").agg(F.max(F.struct("cosine", F.col("template"))).alias("hit"))
-    found = best.groupBy("key").agg(F.max("hit").alias("hit"), (F.sum("words") / F.max("n")).alias("cover"))
+    (idf, unknown, rows), (full_idf, full_unknown, full_rows) = template_vectors(), full_vectors()
+    # Scopes: 0 lines, 1 blocks, both against notices; 2 whole texts, 3 pieces, both against full texts.
+    templates = spark.createDataFrame([(False, *r) for r in rows] + [(True, *r) for r in full_rows], "whole boolean, template string, term string, weight double")
+    frequencies = spark.createDataFrame([(False, *r) for r in idf.items()] + [(True, *r) for r in full_idf.items()], "whole boolean, term string, idf double")
+    cued = docs.filter(F.col("text").rlike(WRAPPED_CUE)).withColumn("n", _n_words(F.col("text")))
+    as_units = lambda texts, scope: F.transform(texts, lambda x, i: F.struct(F.lit(scope).alias("scope"), i.alias("at"), x.alias("line")))
+    lines = as_units(F.filter(F.split("text", LINE), lambda x: x.rlike(CUE)), 0)
+    blocks = as_units(F.filter(F.split(F.regexp_replace("text", MARK, ""), BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), 1)
+    whole = as_units(F.array("text"), 2)
+    pieces = as_units(F.filter(F.split("text", BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), 3)
+    units = cued.select("key", "n", F.explode(F.concat(lines, blocks, whole, pieces)).alias("u")).select("key", "n", "u.*")
+    terms = units.select("key", "n", "scope", "at", _n_words(F.col("line")).alias("words"), F.explode(F.filter(F.split(F.lower("line"), TERM), lambda t: t != "")).alias("term"))
+    unit = ["key", "n", "scope", "at", "words"]
+    counted = terms.groupBy(*unit, "term").agg(F.count("*").alias("tf")).withColumn("whole", F.col("scope") >= 2)
+    # Both tables of templates are parameters of this module, some thousand rows.
+    tf = F.when(F.col("whole"), 1 + F.log("tf")).otherwise(F.col("tf"))
+    weighed = counted.join(F.broadcast(frequencies), ["whole", "term"], "left").withColumn("w", tf * F.coalesce("idf", F.when(F.col("whole"), F.lit(full_unknown)).otherwise(F.lit(unknown))))
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(templates), ["whole", "term"]).groupBy("key", "scope", "at", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    least = F.when(F.col("scope") >= 2, F.lit(LEAST_WHOLE)).otherwise(F.lit(LEAST_COSINE))
+    scored = norms.join(dots, ["key", "scope", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= least)
+    named = ~F.col("template").startswith("proprietary")
+    best = scored.groupBy(*unit).agg(F.max(F.struct(named.alias("named"), F.col("cosine"), F.col("template"))).alias("hit"))
+    share = lambda scope: F.coalesce(F.sum(F.when(F.col("scope") == scope, F.col("words"))), F.lit(0)) / F.max("n")
+    found = best.groupBy("key").agg(F.max("hit").alias("hit"), F.greatest(*(share(k) for k in range(4))).alias("cover"))
     return found.select("key", F.substring_index("hit.template", "#", 1).alias("license"), "hit.cosine", "cover")
 
 

@@ -132,6 +132,25 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan_licenses(docs.limit(0), F.col("path")).count() == 0
 
 
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_notices_and_whole_texts(spark):
+    code = "\n\ndef area(r):\n    return r * r * 3\n" * 20
+    commented = lambda text, mark: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    rows = [(k, f"whole{k}/a", licenses.full_text(x), x) for k, x in enumerate(licenses.FULL_TEXTS)]
+    rows += [(100 + k, f"whole{k}/b", "code", x) for k, x in enumerate(licenses.FULL_TEXTS)]  # they inherit
+    headers = {"GPL-3.0": GPL_HEADER, "MIT": licenses.full_text("MIT"), "BSD-3-Clause": "Copyright 2020 Ann Other. All rights reserved.\n\n" + licenses.full_text("BSD-3-Clause").split("reserved.")[1].strip()}
+    rows += [(200 + 10 * j + k, "src/x", commented(h, mark) + code, x) for j, mark in enumerate(("#", "//", " *")) for k, (x, h) in enumerate(headers.items())]
+    rows += [(300, "p/x", "# Copyright 2020 Ann Other. All rights reserved." + code, "proprietary"), (301, "q/x", "the licence of the story was, and the rest of it is in the hands\nof the reader, under the terms that all of us know " * 90, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string, wanted string")
+    found = {r.doc_id: (r.license, r.inherited) for r in licenses.scan_licenses(docs, F.col("path")).collect()}
+    assert found == {r[0]: (r[3], 100 <= r[0] < 200) for r in rows}
+
+
 def nearest(ids, vectors, queries, k):
     bits = np.array([[x is not None and x > 0 for x in v] for v in vectors])
     out = []
