@@ -1,22 +1,23 @@
 """N-gram Jaccard join (operator 2).
 
 Documents by distinct word shingles are the rows and columns of a sparse 0/1 matrix;
-the overlaps of all pairs are its product with its transpose. The product is taken in
-blocks of columns, and only over the columns in which a pair that links must meet:
-
-* Documents with one shingle set are one class; all that follows is on classes.
-* Shingles are in one global order: those seen often in some block of documents last,
-  then by hash. Sizes bound the overlap of a linked pair from below, so it must share
-  ``MEET`` shingles among the first ``n - ceil(t n) + MEET`` of either set. These
-  prefixes are the matrix that is multiplied.
-* Within a column, every class is first paired with two pivots only: the class that shares
-  most of its prefix, and the first. Pairs with too few
-  common columns or sizes too far apart are discarded, the rest are verified on whole
-  sets, and links join into components. Then only pairs of different components meet
-  again in each column. So a group of near copies costs about two pairs for each
-  member, and no linked pair of different components is lost. A 512-bit parity
-  signature of each set bounds the symmetric difference from below and discards pairs
-  before they leave the column.
+the overlaps of all pairs are its product with its transpose. Documents with one shingle
+set are one class; all that follows is on classes. The product is taken twice, in blocks:
+
+1. Over the columns in which a pair that links must meet. Shingles are in one global
+   order, by how often blocks of documents hold them, then by hash. Sizes bound the
+   overlap of a linked pair from below, so it must share ``MEET`` shingles among the first
+   ``n - ceil(t n) + MEET`` of either set. Counts of these are accumulated for all pairs of
+   a column that is low; in a high column every class is paired with two pivots (the first
+   class, and the one that shares most of its prefix), and then the classes that these
+   pairs leave in different groups meet in blocks of rows. Sizes, counts and 512 parity
+   bits of each set, which bound the symmetric difference from below, discard pairs.
+   What remains joins classes into candidate groups; every linked pair is within one.
+2. Over all columns, within each candidate group, in blocks of rows by rows: whole sets
+   are dealt out once for each block of their group, overlaps of two blocks are
+   accumulated block of columns by block of columns, and a pair links or not by its exact
+   overlap. Only the number of links of each class and the edges that connect it leave
+   a block, never the pairs.
 """
 
 from __future__ import annotations
@@ -28,19 +29,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.llm.bpe import Memo
 from lakequill.llm.components import components
-from lakequill.llm.shared import forget, looked_up, written
+from lakequill.llm.shared import forget, looked_up, met_often, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Prefix columns that a linked pair must share.
+#: Prefix columns that a linked pair must share, or as many as its overlap, if that is less.
 MEET = 3
-#: Shingles seen so often in one block of so many shingles go to the end of the order,
-#: at most so many of them. The order decides how much work there is, never the result.
-OFTEN, BLOCK_SHINGLES, MOST_OFTEN = 4, 3_000_000, 1 << 17
+#: Shingles seen so often in one block of so many shingles raise the level of their bucket.
+#: Levels decide the order of shingles, so how much work there is, never the result.
+OFTEN, BLOCK_SHINGLES, BUCKETS = 4, 3_000_000, 1 << 22
+#: Columns of more classes are high. Shingles of this level (a binary logarithm) are high beforehand and dealt out with salt.
+HIGH, HIGH_LEVEL, SALTS = 64, 12, 1024
+#: Rows of a block of the first product; classes and shingles of a block of the second.
+BLOCK_ROWS, BLOCK_CLASSES, BLOCK_SET = 1024, 2048, 2_000_000
+#: Cells of a dense piece of the incidence matrix.
+CELLS = 4_000_000
 #: Bits of the filter of documents whose sets are needed; a power of two times 32768.
 FILTER_BITS = 1 << 25
 LOW63 = np.uint64((1 << 63) - 1)
@@ -85,33 +92,34 @@ def signature(shingles: np.ndarray) -> list[int]:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """How many shingles, in the global order, a set of n puts into the product."""
+    """How many shingles, in the global order, a set of n puts into the first product."""
     return min(n, n - -(-percent * n // 100) + MEET)
 
 
-def _batch(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+def _batch(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: kind 0 (doc_id, n, hi, lo) for each document, kind 1 (hi = shingle, n = count) for frequent shingles."""
+    """Rows of two kinds: kind 0 (doc_id, h, n, hi, lo, signature) for each document, kind 1 (hi = bucket, n = count) for frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
         block: list[np.ndarray] = []
         held = 0
-        names = ["kind", "doc_id", "n", "hi", "lo", *SIGNATURE]
-        kinds = [pa.int32(), *[pa.int64()] * (4 + len(SIGNATURE))]
+        names = ["kind", "doc_id", "h", "n", "hi", "lo", *SIGNATURE]
+        kinds = [pa.int32(), *[pa.int64()] * (5 + len(SIGNATURE))]
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *block]), return_counts=True)
             keep = counts >= OFTEN
             many = int(keep.sum())
-            return _batch([[1] * many, [None] * many, counts[keep], values[keep].astype(np.int64), *[[None] * many] * (1 + len(SIGNATURE))], kinds, names)
+            nothing = [None] * many
+            return _batch([[1] * many, nothing, nothing, counts[keep], (values[keep] & np.uint64(BUCKETS - 1)).astype(np.int64), *[nothing] * (1 + len(SIGNATURE))], kinds, names)
 
         for batch in batches:
             sizes, his, los, signs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingler(text)
                 sizes.append(len(s))
                 if not len(s):
@@ -130,23 +138,33 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
                     if held >= BLOCK_SHINGLES:
                         yield frequent()
                         block, held, seen = [], 0, set()
-            columns = [[0] * len(sizes), batch.column(0).to_pylist(), sizes, his, los, *([x[k] for x in signs] for k in range(len(SIGNATURE)))]
+            columns = [[0] * len(sizes), batch.column(0), batch.column(1), sizes, his, los, *([x[k] for x in signs] for k in range(len(SIGNATURE)))]
             yield _batch(columns, kinds, names)
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, hi long, lo long, " + ", ".join(f"{s} long" for s in SIGNATURE))
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "kind int, doc_id long, h long, n long, hi long, lo long, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, often: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """(token, hi, lo, n): the prefix of each class, once for each task that meets the class."""
-    least = next(n for n in range(1, 10**6) if 100 * n >= percent * (n + 1))  # smaller sets link to their equals only
-    shared = docs.sparkSession.sparkContext.broadcast((often, levels))
+def _levels(counted: DataFrame) -> np.ndarray:
+    """The level of each bucket of shingles, a byte; the table of the raised ones has BUCKETS rows at most."""
+    level = F.floor(F.log2(F.sum("n"))).cast("int")
+    raised = counted.groupBy(F.col("hi").cast("int").alias("bucket")).agg(level.alias("level")).toArrow()
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[raised["bucket"].to_numpy()] = raised["level"].to_numpy()
+    return levels
+
+
+def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """(place, high, token, hi, lo, n): the prefix of each class, once for each task that meets the class."""
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link to their equals only
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    names, kinds = ["place", "high", "token", "hi", "lo", "n"], [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
-        often, levels = shared.value
+        levels = shared.value
         for batch in batches:
-            tokens, his, los, sizes, many = [], [], [], [], []
+            tokens, ranks, his, los, sizes, many = [], [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingler(text)
                 if len(s) < least:
@@ -156,21 +174,96 @@ def _prefixes(docs: DataFrame, k: int, percent: int, often: np.ndarray, levels:
                     continue
                 seen.add(key)
                 p = prefix_length(len(s), percent)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    level = np.where(often[at] == s, levels[at], 0)
-                    if level.any():
-                        s = s[np.argsort(level, kind="stable")]
-                tokens.append(s[:p])
+                level = levels[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                first = np.argsort(level, kind="stable")[:p]
+                tokens.append(s[first])
+                ranks.append(level[first])
                 his.append(key[0])
                 los.append(key[1])
                 sizes.append(len(s))
                 many.append(p)
             flat = np.concatenate([np.zeros(0, np.uint64), *tokens]).astype(np.int64)
-            columns = [flat, *(np.repeat(np.array(x, np.int64), np.array(many, np.int64)) for x in (his, los, sizes))]
-            yield _batch(columns, [pa.int64()] * 4, ["token", "hi", "lo", "n"])
+            high = np.concatenate([np.zeros(0, np.uint8), *ranks]) >= HIGH_LEVEL
+            his, los, sizes = (np.repeat(np.array(x, np.int64), np.array(many, np.int64)) for x in (his, los, sizes))
+            place = np.where(high, flat ^ (his & (SALTS - 1)), flat)
+            yield _batch([place, high, flat, his, los, sizes], kinds, names)
+
+    return docs.select("text").mapInArrow(run, "place long, high boolean, token long, hi long, lo long, n int")
+
+
+def _column_pairs(token: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of all pairs within the columns of sorted tokens whose sizes allow a link."""
+    at, apart = np.arange(len(token)), 1
+    while len(at := at[at + apart < len(token)]) and len(at := at[token[at] == token[at + apart]]):
+        a, b = n[at], n[at + apart]
+        fit = at[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+        yield fit, fit + apart
+        apart += 1
+
+
+def _met(prefixes: DataFrame, percent: int) -> DataFrame:
+    """The first product, column by column: rows (token, hi, lo, n) of high columns, and with a null token the pairs of low ones."""
+    names = ["token", "hi", "lo", "n", "hi2", "lo2", "n2"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()]
+    block = 1 << 18
+
+    def found(token, high, hi, lo, n) -> Iterator[pa.RecordBatch]:
+        """Whole columns, each at most HIGH rows or high."""
+        rows = high.nonzero()[0]
+        if len(rows):
+            none = pa.nulls(len(rows), pa.int64())
+            yield _batch([token[rows], hi[rows], lo[rows], n[rows], none, none, none.cast(pa.int32())], kinds, names)
+        token, hi, lo, n = (x[~high] for x in (token, hi, lo, n))
+        for i, j in _column_pairs(token, n, percent):
+            if len(i):
+                yield _batch([pa.nulls(len(i), pa.int64()), hi[i], lo[i], n[i], hi[j], lo[j], n[j]], kinds, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        kept: list[np.ndarray] | None = None  # rows of a column that may go on
+        going = last = None  # the column that is high and goes on, and its last class
+
+        def process(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal kept, going, last
+            new = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(1, 6)]
+            high, token, hi, lo, n = [np.concatenate(x) for x in zip(kept, new)] if kept else new
+            same = np.zeros(len(token), bool)
+            same[1:] = (token[1:] == token[:-1]) & (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])
+            if going is not None and len(token) and (token[0], hi[0], lo[0]) == (going, *last):
+                same[0] = True
+            high, token, hi, lo, n = (x[~same] for x in (high, token, hi, lo, n))
+            kept = None
+            if not len(token):
+                return
+            starts = np.concatenate([[0], (token[1:] != token[:-1]).nonzero()[0] + 1])
+            heights = np.diff(np.append(starts, len(token)))
+            over = heights > HIGH
+            if going is not None and token[0] == going:
+                over[0] = True
+            high = high | np.repeat(over, heights)
+            going = None
+            if not end:
+                if high[-1]:
+                    going, last = token[-1], (hi[-1], lo[-1])
+                else:
+                    cut = starts[-1]
+                    kept = [x[cut:] for x in (high, token, hi, lo, n)]
+                    high, token, hi, lo, n = (x[:cut] for x in (high, token, hi, lo, n))
+            yield from found(token, high, hi, lo, n)
+
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= block:
+                yield from process(False)
+                held, rows = [], 0
+        if held or kept:
+            held = held or [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32())], ["place", "high", "token", "hi", "lo", "n"])]
+            yield from process(True)
 
-    return docs.select("text").mapInArrow(run, "token long, hi long, lo long, n long")
+    dealt = prefixes.repartition("place").sortWithinPartitions("token", "hi", "lo")
+    return dealt.mapInArrow(run, "token long, hi long, lo long, n int, hi2 long, lo2 long, n2 int")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -184,119 +277,250 @@ def _near(percent: int) -> Column:
     return F.expr(f"{100 + percent} * ({bits}) <= {100 - percent} * (n + n2)")
 
 
+def _candidates(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of nodes that counts, sizes and signatures leave, without those of high columns that pivots do not meet."""
+    pair = ["hi", "lo", "n", "hi2", "lo2", "n2"]
+    low = met.filter("token is null").select(*pair)
+    high = met.filter("token is not null").select("token", "hi", "lo", "n")
+    # Of near copies, those with the fewest changes share most of their prefix: they are the best pivots.
+    central = high.groupBy("hi", "lo", "n").agg(F.count("*").alias("met"))
+    central = central.select("hi", "lo", F.expr(f"cast(1000 * met / (n - ceil({percent} * n / 100) + {MEET}) as int)").alias("central"))
+    marked = high.join(central, ["hi", "lo"])
+    pivots = marked.groupBy("token").agg(F.count("*").alias("height"), F.min(F.struct("hi", "lo", "n")).alias("first"), F.max(F.struct("central", "hi", "lo", "n")).alias("best")).filter("height > 1")
+    pivots = pivots.select("token", "height", F.array_distinct(F.array("first", F.struct("best.hi", "best.lo", "best.n"))).alias("pivots"))
+    stars = looked_up(high, pivots, ["token"], "height", "inner").select("hi", "lo", "n", F.explode("pivots").alias("p")).select("hi", "lo", "n", F.col("p.hi").alias("hi2"), F.col("p.lo").alias("lo2"), F.col("p.n").alias("n2"))
+    stars = stars.filter("hi <> hi2 or lo <> lo2").filter(_alike("n", "n2", percent))
+    ordered = "hi < hi2 or (hi = hi2 and lo < lo2)"
+    stars = stars.selectExpr(*(f"if({ordered}, {a}, {b}) AS {a}" for a, b in zip(pair, pair[3:] + pair[:3])))
+    counted = low.union(stars).groupBy(*pair).agg(F.count("*").alias("shared"))
+    pairs = written(counted.filter(f"shared >= least({MEET}, ceil({percent} * greatest(n, n2) / 100))").drop("shared"), "pairs")
+    mine = classes.select("hi", "lo", F.col("node").alias("u"), *SIGNATURE)
+    theirs = classes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("node").alias("v"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
+    one = written(met_often(pairs, mine, ["hi", "lo"]).drop("hi", "lo"), "pairs-1")
+    found = written(met_often(one, theirs, ["hi2", "lo2"]).filter(_near(percent)).select("u", "v"), "candidates")
+    forget(pairs, one)
+    return found
+
+
+def _across(met: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(u, v): of the classes of a high column that are in different groups, for two groups in a block, a pair whose sizes and signatures allow a link."""
+    mine = classes.join(groups, "node", "left").select("hi", "lo", "node", F.coalesce("component", "node").alias("label"), *SIGNATURE)
+    rows = written(met.filter("token is not null").select("token", "hi", "lo", "n").join(mine.select("hi", "lo", "node", "label"), ["hi", "lo"]).select("token", "node", "label", "n"), "high")
+    # The group with most classes of a column is at home there; its classes need not meet.
+    homes = rows.groupBy("token", "label").agg(F.count("*").alias("many")).groupBy("token").agg(F.sum("many").alias("height"), F.max(F.struct("many", "label")).alias("home")).filter("height > home.many")
+    homes = homes.select("token", "height", F.col("home.label").alias("home"), F.expr(f"cast(ceil((height - home.many) / {BLOCK_ROWS}) as int)").alias("aways"), F.expr(f"cast(ceil(home.many / {BLOCK_ROWS}) as int)").alias("rest"))
+    mixed = looked_up(rows, homes, ["token"], "height", "inner").withColumn("away", F.col("label") != F.col("home"))
+    mixed = mixed.withColumn("at", F.expr("cast(pmod(xxhash64(node), if(away, aways, rest)) as int) + if(away, 0, aways)"))
+    mixed = mixed.join(mine.select("node", *SIGNATURE), "node")
+    meets = F.expr("transform(sequence(0, if(away, aways + rest, aways) - 1), x -> struct(least(x, at) AS i, greatest(x, at) AS j))")
+    dealt = mixed.withColumn("block", F.explode(meets)).select("token", "block.i", "block.j", F.expr("at = block.i").alias("first"), F.expr("at = block.j").alias("second"), "node", "label", "n", *SIGNATURE)
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def meet(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        first, second = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
+        node, label, n = (batch.column(c).to_numpy() for c in ("node", "label", "n"))
+        signs = np.stack([batch.column(c).to_numpy() for c in SIGNATURE], 1).view(np.uint64)
+        a, b = first.nonzero()[0], second.nonzero()[0]
+        bits = np.zeros((len(a), len(b)), np.int32)
+        for k in range(len(SIGNATURE)):
+            bits += np.bitwise_count(signs[a, k][:, None] ^ signs[b, k][None, :])
+        x, y = n[a].astype(np.int64)[:, None], n[b].astype(np.int64)[None, :]
+        fits = (label[a][:, None] != label[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((100 + percent) * bits <= (100 - percent) * (x + y))
+        p, q = fits.nonzero()
+        p, q = a[p], b[q]
+        _, one = np.unique(np.stack([np.minimum(label[p], label[q]), np.maximum(label[p], label[q])], 1), axis=0, return_index=True)
+        return node[p[one]], node[q[one]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _units(batches, ("token", "i", "j")):
+            yield _batch(list(meet(rows)), [pa.int64()] * 2, ["u", "v"])
+
+    return written(dealt.mapInArrow(run, "u long, v long").distinct(), "across")
+
+
+def _units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows that agree in ``keys``, from batches sorted by them, one batch for each key."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    key = lambda batch, row: tuple(batch.column(k)[row].as_py() for k in keys)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+            yield whole()
+            held = []
+        cuts = [0, *new.nonzero()[0].tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a:
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """The product of the incidence matrix of the sets ``a`` with that of ``b`` (None: of ``a``), accumulated over blocks of columns."""
+    sets = a if b is None else a + b
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]])[: len(flat)])
+    shared = np.bincount(column, minlength=1) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    width, many = max(256, CELLS // max(1, len(sets))), int(shared.sum())
+    total = np.zeros((len(a), len(a if b is None else b)), np.int64)
+    for start in range(0, many, width):
+        x, y = np.searchsorted(column, [start, start + width])
+        dense = np.zeros((len(sets), min(width, many - start)), np.float32)
+        dense[owner[x:y], column[x:y] - start] = 1
+        total += np.rint(dense[: len(a)] @ (dense if b is None else dense[len(a) :]).T).astype(np.int64)
+    return total
+
+
+def _linked(unit: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, label): links of each class of a block with the other block, and the least node that links within it reach."""
+    _, unique = np.unique(unit.column("node").to_numpy(), return_index=True)
+    unit = unit.take(pa.array(unique))
+    node, copies = unit.column("node").to_numpy(), unit.column("copies").to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in unit.column("shingles").to_pylist()]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    at, i, j = unit.column("at").to_numpy(), unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+    a = (at == i).nonzero()[0]
+    b = a if i == j else (at == j).nonzero()[0]
+    total = overlaps([sets[x] for x in a], None if i == j else [sets[x] for x in b])
+    links = 100 * total >= percent * (sizes[a][:, None] + sizes[b][None, :] - total)
+    if i == j:
+        np.fill_diagonal(links, False)
+    label, most = node.copy(), np.iinfo(np.int64).max
+    while len(a) and len(b):
+        before = label.copy()
+        label[a] = np.minimum(label[a], np.where(links, label[b][None, :], most).min(1))
+        label[b] = np.minimum(label[b], np.where(links, label[a][:, None], most).min(0))
+        if (label == before).all():
+            break
+    many = np.zeros(len(node), np.int64)
+    many[a] += (links * copies[b][None, :]).sum(1)
+    if i != j:
+        many[b] += (links * copies[a][:, None]).sum(0)
+    return node, many, label
+
+
 def _bit_filter(ids: DataFrame) -> DataFrame:
-    """(bucket, bits): a bitmap over hashes of ``doc_id``; at most FILTER_BITS / 32768 rows of 4 KB."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    return ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    """(bucket, bits): a bitmap over hashes of (doc_id, h); at most FILTER_BITS / 32768 rows of 4 KB."""
+    h = F.pmod(F.xxhash64("doc_id", "h"), F.lit(FILTER_BITS)) + 1
+    return ids.select(h.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
 
 
 def _passing(docs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The documents whose id may be in the filter."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    """The documents that may be in the filter."""
+    h = F.pmod(F.xxhash64("doc_id", "h"), F.lit(FILTER_BITS)) + 1
     probed = docs.withColumns({"bucket": F.bitmap_bucket_number(h), "bit": F.bitmap_bit_position(h)}).join(F.broadcast(bits), "bucket")
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return probed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "text")
-
-
-def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(hi, lo, shingles binary) of the needed (hi, lo, doc_id)."""
-    texts = _passing(docs, _bit_filter(needed))
-    joined = texts.join(needed.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("hi", "lo", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return probed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "h", "text")
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, links, label): the second product, one row for each block that a class of a candidate group is in."""
+    members = written(classes.join(groups, "node").select("node", "hi", "lo", "n", "copies", "doc_id", "h", "component"), "members")
+    blocks = members.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("size"))
+    blocks = blocks.select("component", "many", F.expr(f"cast(ceil(greatest(many / {BLOCK_CLASSES}, size / {BLOCK_SET})) as int)").alias("blocks"))
+    members = looked_up(members, blocks, ["component"], "many", "inner").withColumn("at", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    members = written(members.withColumnsRenamed({"doc_id": "rep", "h": "rep_h"}), "blocks")
+    needed = members.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"))
+    # One text of repeated rows; the first step of this is within each task.
+    texts = _passing(docs, _bit_filter(needed)).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    joined = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
+    joined = joined.select("node", "copies", "component", "at", "blocks", "hi", "lo", "text")
+    names, kinds = ["node", "copies", "component", "at", "blocks", "shingles"], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
-            found = []
-            for hi, lo, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingler(text)
-                if len(s) and digest(s) == (hi, lo):  # else another text with this id
-                    found.append((hi, lo, s.tobytes()))
-            yield _batch([list(c) for c in zip(*found)] or [[], [], []], [pa.int64(), pa.int64(), pa.binary()], ["hi", "lo", "shingles"])
-
-    return joined.mapInArrow(run, "hi long, lo long, shingles binary")
-
-
-def _links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (hi, lo, hi2, lo2) whose whole sets link, as (u, v): documents that stand for them."""
-    mine = reps.select("hi", "lo", "n", *SIGNATURE)
-    theirs = reps.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
-    pairs = written(pairs.join(mine, ["hi", "lo"]).join(theirs, ["hi2", "lo2"]).filter(_near(percent)).select("hi", "lo", "hi2", "lo2"), "pairs")
-    reps = reps.select("hi", "lo", "doc_id")
-    ends = pairs.select("hi", "lo").union(pairs.select("hi2", "lo2")).distinct()
-    whole = written(_sets(docs, ends.join(reps, ["hi", "lo"]), k).dropDuplicates(["hi", "lo"]), "sets")
-    sets = whole.join(reps, ["hi", "lo"])
-    one = sets.select("hi", "lo", F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    two = sets.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(one, ["hi", "lo"]).join(two, ["hi2", "lo2"]).select("u", "v", "a", "b")
+            sets = [shingler(text) for text in batch.column("text").to_pylist()]
+            keep = [digest(s) == (hi, lo) for s, hi, lo in zip(sets, batch.column("hi").to_pylist(), batch.column("lo").to_pylist())]  # else another text with this id
+            yield _batch([*(batch.column(c) for c in names[:5]), [s.tobytes() for s in sets]], kinds, names).filter(pa.array(keep, pa.bool_()))
+
+    sets = joined.mapInArrow(shingled, "node long, copies long, component long, at int, blocks int, shingles binary")
+    meets = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, at) AS i, greatest(x, at) AS j))")
+    dealt = sets.withColumn("block", F.explode(meets)).select("component", "block.i", "block.j", "at", "node", "copies", "shingles")
+    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for unit in _units(batches, ("component", "i", "j")):
+            yield _batch(list(_linked(unit, percent)), [pa.int64()] * 3, ["node", "links", "label"])
+
+    return written(dealt.mapInArrow(run, "node long, links long, label long"), "links")
 
-    links = written(both.mapInArrow(run, "u long, v long"), "links")
-    forget(pairs, whole)
-    return links
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, hi, lo), n = 0 without shingles, and classes (hi, lo, node, copies, n_links, component, of), where of = (no, id, h) is the class's first row."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    first = written(_classes_and_counts(docs, k), "classes")
+    rows = first.filter("kind = 0").select("doc_id", "h", "n", "hi", "lo", *SIGNATURE)
+    levels = _levels(first.filter("kind = 1"))
+    same = (F.max(c).alias(c) for c in ("n", *SIGNATURE))  # equal in all rows of a class
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "h")).alias("of")
+    reps = rows.filter("n > 0").groupBy("hi", "lo").agg(F.count("*").alias("copies"), of, *same)
+    reps = written(reps.withColumns({"node": F.monotonically_increasing_id(), "doc_id": F.col("of.id"), "h": F.col("of.h")}), "reps")
+
+    met = written(_met(_prefixes(docs, k, percent, levels), percent), "met")
+    edges = _candidates(met, reps, percent)
+    groups = components(edges, "u", "v")
+    across = _across(met, reps, groups, percent)
+    if not across.isEmpty():
+        groups = components(edges.union(across), "u", "v")
+    forget(met)
+    linked = _links(docs, reps, groups, k, percent)
+    named = components(linked.select("node", "label"), "node", "label")
+    found = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    found = reps.select("hi", "lo", "node", "copies", "of").join(found, "node", "left").join(named, "node", "left")
+    return rows, found.select("hi", "lo", "node", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "of")
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     Rows link when the Jaccard similarity of their shingle sets is ``percent`` or more;
-    component_id is the least id that links reach. Null or empty texts and texts without
-    words have no shingles and link to nothing. Repeated rows and equal sets are in one
-    component. A text that has null ids only links to nothing and has a null component.
-    Rows that share an id are one node. Other columns are left out.
+    component_id is the least id that links reach, n_links the number of other rows that
+    the row links with. Null or empty texts and texts without words have no shingles and
+    link to nothing. Repeated rows and equal sets are in one component. Null ids take part;
+    the component of rows with null ids only is null. Rows that share an id but not the
+    text are two. Other columns are left out.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = written(_classes_and_counts(docs, k), "classes")
-    rows = first.filter("kind = 0").select("doc_id", "n", "hi", "lo", *SIGNATURE)
-    counted = first.filter("kind = 1").groupBy("hi").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "hi").limit(MOST_OFTEN).toPandas()  # a bounded list, 2 MB at most
-    top = top.sort_values("hi")
-    often, levels = top["hi"].to_numpy(np.uint64), np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)).astype(np.int64)
+    rows, classes = _joined(_keyed(docs, id_col, text_col), k, percent)
+    classes = written(classes, "joined")
+    least = classes.groupBy("component").agg(F.count("*").alias("many"), F.min("of.id").alias("component_id"))
+    final = looked_up(classes.select("hi", "lo", "copies", "n_links", "component"), least, ["component"], "many", "inner").drop("component")
+    found = looked_up(rows.filter("n > 0").select("doc_id", "n", "hi", "lo"), final, ["hi", "lo"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return found.union(rows.filter("n = 0").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
 
-    same = (F.max(c).alias(c) for c in ("n", *SIGNATURE))  # equal in all rows of a class
-    reps = written(rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *same), "reps")
-    by_token = Window.partitionBy("token")
-    key = F.struct("hi", "lo")
-    columns = _prefixes(docs, k, percent, often, levels).repartition("token").dropDuplicates(["token", "hi", "lo", "n"])
-    met = written(columns.withColumn("height", F.count("*").over(by_token)).filter("height > 1").drop("height"), "columns")
 
-    # Of near copies, those with the fewest changes share most of their prefix: they are the best pivots.
-    central = met.groupBy("hi", "lo", "n").agg(F.count("*").alias("met"))
-    central = central.select("hi", "lo", F.expr(f"cast(1000 * met / (n - ceil({percent} * n / 100) + {MEET}) as int)").alias("central"))
-    marked = met.join(central, ["hi", "lo"])
-    marked = marked.withColumns({"first": F.min(F.struct("hi", "lo", "n")).over(by_token), "best": F.max(F.struct("central", "hi", "lo", "n")).over(by_token)})
-    pivots = F.explode(F.array("first", F.struct("best.hi", "best.lo", "best.n"))).alias("pivot")
-    stars = marked.select("hi", "lo", "n", pivots).select("hi", "lo", "n", F.col("pivot.hi").alias("hi2"), F.col("pivot.lo").alias("lo2"), F.col("pivot.n").alias("n2"))
-    stars = stars.filter("hi <> hi2 or lo <> lo2").filter(_alike("n", "n2", percent))
-    stars = stars.groupBy("hi", "lo", "hi2", "lo2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= MEET)
-    links = _links(docs, stars.drop("shared"), reps, k, percent)
-    named = components(links, "u", "v")
-
-    classes = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", *SIGNATURE, F.coalesce("component", "doc_id").alias("label"))
-    labelled = met.select("token", "hi", "lo", "n").join(classes.select("hi", "lo", "label"), ["hi", "lo"])
-    labelled = labelled.withColumns({"least": F.min("label").over(by_token), "most": F.max("label").over(by_token), "home": F.min_by("label", key).over(by_token)})
-    mixed = labelled.filter("least < most").select("token", "hi", "lo", "n", "label", (F.col("label") != F.col("home")).alias("away"))
-    mixed = written(mixed.join(classes.select("hi", "lo", *SIGNATURE), ["hi", "lo"]), "mixed")
-    forget(met)
-    other = mixed.select("token", *(F.col(c).alias(c + "2") for c in ("hi", "lo", "n", "label", "away")), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
-    again = mixed.filter("away").join(other, "token").filter("label <> label2 and (not away2 or hi < hi2 or (hi = hi2 and lo < lo2))").filter(_alike("n", "n2", percent)).filter(_near(percent))
-    again = again.select(*(F.expr(f"if(hi < hi2 or (hi = hi2 and lo < lo2), {a}, {b})").alias(c) for a, b, c in (("hi", "hi2", "hi"), ("lo", "lo2", "lo"), ("hi2", "hi", "hi2"), ("lo2", "lo", "lo2"))))
-    again = again.groupBy("hi", "lo", "hi2", "lo2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= MEET)
-    more = _links(docs, again.drop("shared"), reps, k, percent)
-    forget(mixed)
-    if not more.isEmpty():
-        named = components(links.union(more), "u", "v")
-
-    final = reps.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hi", "lo", "copies", F.coalesce("component", "doc_id").alias("component_id"))
-    found = looked_up(rows.filter("n > 0").select("doc_id", "n", "hi", "lo"), final, ["hi", "lo"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
+def deduplicated(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of linked rows, the one with the least id (null ids last); columns unchanged.
+
+    Rows without words all stay. Rows are told apart by id and text, so of rows that agree
+    in both and differ elsewhere one stays.
+    """
+    rows, classes = _joined(_keyed(docs, id_col, text_col), k, percent)
+    kept = classes.groupBy("component").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__kept_id"), F.col("of.h").alias("__kept_h"))
+    key = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_h": F.xxhash64(F.col(text_col).cast("string"))})
+    worded = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD)
+    single = key.filter(worded).dropDuplicates(["__row_id", "__row_h"])
+    found = single.join(kept, F.col("__row_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row_h") == F.col("__kept_h")), "left_semi")
+    return found.select(*docs.columns).union(docs.filter(~worded))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))

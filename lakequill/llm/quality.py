@@ -89,9 +89,9 @@ def _statistics(docs: DataFrame) -> DataFrame:
                 hits = [k for k in map(slot, words) if k is not None]
                 common.append(np.bincount(hits, minlength=len(VOCABULARY)) if hits else np.zeros(len(VOCABULARY), np.int64))
             arrays = [pa.array([x.astype(np.int32) for x in h], pa.list_(pa.int32())) for h in (chars, common)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), *arrays], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), *arrays, batch.column(3)], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, common array<int>")
+    return docs.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, common array<int>, h long")
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -166,15 +166,13 @@ def _references(stats: DataFrame, within: dict[str, tuple[np.ndarray, np.ndarray
     return {k: (v[: len(CLASSES)], v[len(CLASSES) :]) for k, v in means.items()}
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance) for every row.
+OUTPUT = {"doc_id": "long", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "chars_distance": "double", "words_distance": "double"}
 
-    Null and empty texts have no words and fail the base rules. Rows of a language
-    without reference, or without language, are held against the nearest reference; if
-    there is none (too few long texts), only the base rules count. Null ids and repeated
-    rows stay; other columns are left out.
-    """
-    stats = written(_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))), "statistics")
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The columns of quality_rules(), with lang and h, a hash of the text."""
+    text = F.col(text_col).cast("string")
+    stats = written(_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))), "statistics")
     references = _references(stats, _references(stats, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +181,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             failed = (n_words < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n_words)
             found = distances(batch, references)
             kept = ~failed & verdict(*found)
-            names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            columns = [batch.column(c) for c in names] + [pa.array(failed), pa.array(kept), pa.array(found[0]), pa.array(found[1])]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "base_failed", "kept", "chars_distance", "words_distance"])
+            columns = [batch.column(c) for c in list(OUTPUT)[:6]] + [pa.array(failed), pa.array(kept), pa.array(found[0]), pa.array(found[1]), batch.column("lang"), batch.column("h")]
+            yield pa.RecordBatch.from_arrays(columns, [*OUTPUT, "lang", "h"])
+
+    return stats.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in OUTPUT.items()) + ", lang string, h long")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance) for every row.
+
+    Null and empty texts have no words and fail the base rules. Rows of a language
+    without reference, or without language, are held against the nearest reference; if
+    there is none (too few long texts), only the base rules count. Null ids and repeated
+    rows stay; other columns are left out.
+    """
+    return _judged(docs, id_col, text_col, lang_col).select(*OUTPUT)
+
 
-    return stats.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_distance double, words_distance double")
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep; columns unchanged. Each row goes or stays by its own text and language, whatever its id."""
+    gone = _judged(docs, id_col, text_col, lang_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("lang").alias("__gone_lang"), F.col("h").alias("__gone_h")).distinct()
+    mine = {"__row_id": F.col(id_col).cast("long"), "__row_lang": F.col(lang_col).cast("string"), "__row_h": F.xxhash64(F.col(text_col).cast("string"))}
+    same = F.col("__row_id").eqNullSafe(F.col("__gone_id")) & F.col("__row_lang").eqNullSafe(F.col("__gone_lang")) & (F.col("__row_h") == F.col("__gone_h"))
+    return docs.withColumns(mine).join(gone, same, "left_anti").select(*docs.columns)

@@ -1,15 +1,23 @@
-"""Tables that cut lineage: written to the folder all executors share, and read back."""
+"""Tables that cut lineage: written to the folder all executors share, and read back.
+
+Operators are lazy, so their tables must outlive the call. They belong to the scope that
+is open when they are written: ``scope()`` hands out the list, and ``drop_paths()`` removes
+what is in it once the results are stored. Without an open scope they stay until the
+folder is cleaned, so no result can lose its tables to another operator.
+"""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("lakequill_scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,11 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str, stays: bool = False) -> str:
-    """A path in the shared folder that nothing else uses; drop_written() removes it, unless it ``stays``."""
+@contextmanager
+def scope(paths: list[str]) -> Iterator[list[str]]:
+    """Tables written inside are listed in ``paths``."""
+    before = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(before)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses, listed in the open scope."""
     path = f"{shared_dir(spark)}/lakequill/{uuid.uuid4().hex}/{name}"
-    if not stays:
-        _WRITTEN.append(path)
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
     return path
 
 
@@ -40,24 +58,23 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return found
 
 
-def forget(*tables: DataFrame) -> None:
-    """Remove tables of written() that nothing will read again, and let Spark drop shuffle files that nothing refers to."""
-    for t in tables:
-        drop(t.sparkSession, t.lakequill_path)
-        _WRITTEN.remove(t.lakequill_path)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
-
-
 def drop(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove all tables of finished operator calls; their results must have been stored."""
-    while _WRITTEN:
-        drop(spark, _WRITTEN.pop())
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read again."""
+    for t in tables:
+        drop_paths(t.sparkSession, [t.lakequill_path])
+        if (paths := _SCOPE.get()) is not None and t.lakequill_path in paths:
+            paths.remove(t.lakequill_path)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Remove the listed tables, with the folders made for them, and empty the list."""
+    while paths:
+        drop(spark, paths.pop().rsplit("/", 1)[0])
 
 
 #: Keys that looked_up() takes out of its shuffle.
@@ -75,3 +92,11 @@ def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
     lead = rows.join(hot, keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.drop(weight), keys, how)
     return lead.unionByName(rest)
+
+
+def met_often(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of a stored table ``rows`` with ``lookup``, as looked_up() does it; the keys are counted here."""
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys)
+    hot = F.broadcast(written(hot, "hot"))
+    lead = rows.join(F.broadcast(lookup.join(hot, keys, "left_semi")), keys)
+    return lead.unionByName(rows.join(hot, keys, "left_anti").join(lookup, keys))

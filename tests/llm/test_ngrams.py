@@ -22,24 +22,31 @@ def shingles(text, k=3):
 
 
 def brute(rows, percent=90, k=3):
-    """(id, n, component) by all pairs; rows that share an id are one node."""
-    sets = [(i, shingles(t, k)) for i, t in rows]
-    parent = {i: i for i, _ in rows}
+    """(id, n, component, links) by all pairs of rows."""
+    sets = [shingles(t, k) for _, t in rows]
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def top(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for (a, x), (b, y) in combinations(sets, 2):
+    for a, b in combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
         if x and y and 100 * len(x & y) >= percent * len(x | y):
+            links[a] += 1
+            links[b] += 1
             p, q = top(a), top(b)
             parent[max(p, q)] = min(p, q)
-    return sorted((i, len(s), top(i) if s else i) for i, s in sets)
+    least = {}
+    for r, (i, _) in enumerate(rows):
+        if i is not None:
+            least[top(r)] = min(least.get(top(r), i), i)
+    return sorted(((i, len(s), least.get(top(r)) if s else i, links[r]) for r, ((i, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
 def result(df):
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in df.collect()), key=repr)
 
 
 def variants(seed, groups, copies, words=120, edits=3):
@@ -57,8 +64,11 @@ def variants(seed, groups, copies, words=120, edits=3):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "percent"), [(1, 90), (2, 80)])
-def test_groups_of_near_copies(spark, seed, percent):
+@pytest.mark.parametrize(("seed", "percent", "high", "block"), [(1, 90, 64, 2048), (2, 80, 4, 2048), (3, 66, 2, 5), (4, 90, 2, 3)])
+def test_groups_of_near_copies(spark, monkeypatch, seed, percent, high, block):
+    monkeypatch.setattr(ngrams, "HIGH", high)
+    monkeypatch.setattr(ngrams, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(ngrams, "BLOCK_ROWS", block)
     rows = variants(seed, 12, 14)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert result(ngrams.ngram_jaccard(docs, percent=percent)) == brute(rows, percent)
@@ -66,6 +76,9 @@ def test_groups_of_near_copies(spark, seed, percent):
 
 def test_chains_of_links_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "OFTEN", 2)
+    monkeypatch.setattr(ngrams, "HIGH_LEVEL", 3)
+    monkeypatch.setattr(ngrams, "HIGH", 3)
+    monkeypatch.setattr(ngrams, "BLOCK_ROWS", 2)
     base = [f"c{i}" for i in range(100)]
     rows = []
     for k in range(12):  # each links to the next, far ones don't link
@@ -82,8 +95,56 @@ def test_edges(spark):
     docs = spark.createDataFrame([(*r, "k", 0) for r in rows], "doc_id long, text string, component_id string, n long")
     assert result(ngrams.ngram_jaccard(docs)) == brute(rows)
     assert result(ngrams.ngram_jaccard(docs.limit(0))) == []
-    nulls = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (5, "e f g"), (None, "e f g")], "doc_id long, text string")
-    assert sorted(map(tuple, ngrams.ngram_jaccard(nulls).collect()), key=repr) == [(5, 1, 5), (None, 1, 5), (None, 2, None), (None, 2, None)]
+    nulls = [(None, "a b c d"), (None, "a b c d"), (5, "e f g"), (None, "e f g"), (5, "another text")]
+    assert result(ngrams.ngram_jaccard(spark.createDataFrame(nulls, "doc_id long, text string"))) == brute(nulls)
+
+
+@pytest.mark.parametrize("percent", [50, 66, 100])
+def test_short_sets_at_any_percent(spark, percent):
+    rnd = random.Random(percent)
+    rows = [(1, "a b c"), (2, "a b c d"), (3, "b c d")] + [(i, " ".join(rnd.choices("abcd", k=rnd.randint(1, 7)))) for i in range(4, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(ngrams.ngram_jaccard(docs, percent=percent)) == brute(rows, percent)
+    with pytest.raises(ValueError):
+        ngrams.ngram_jaccard(docs, percent=0)
+
+
+def test_overlaps_by_blocks_of_columns(monkeypatch):
+    monkeypatch.setattr(ngrams, "CELLS", 1)
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(rnd.integers(0, 900, rnd.integers(0, 700)).astype(np.uint64)) for _ in range(9)]
+    wanted = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert ngrams.overlaps(sets).tolist() == wanted
+    assert ngrams.overlaps(sets[:4], sets[4:]).tolist() == [w[4:] for w in wanted[:4]]
+
+
+def test_deduplicated(spark):
+    rows = variants(9, 10, 8) + [(500, None), (501, ""), (501, ""), (None, "a null id"), (None, "a null id"), (7, "a null id"), (7, "of a shared id")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, hi long").repartition(3)
+    out = ngrams.deduplicated(docs)
+    assert out.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    keep = {}
+    for r, (i, t) in enumerate(rows):
+        if shingles(t):
+            mates = [s for s, (_, u) in enumerate(rows) if 100 * len(shingles(t) & shingles(u)) >= 90 * len(shingles(t) | shingles(u))]
+            keep[r] = mates
+    parent = {r: r for r in keep}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r, mates in keep.items():
+        for m in mates:
+            p, q = top(r), top(m)
+            parent[max(p, q)] = min(p, q)
+    groups = {}
+    for r in keep:
+        groups.setdefault(top(r), []).append(rows[r])
+    wanted = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values()] + [r for r in rows if not shingles(r[1])]
+    assert [x[0] for x in found] == [x[0] for x in sorted(wanted, key=repr)] and len(found) == len(wanted)
 
 
 def test_signature_bounds_the_difference():
