@@ -32,10 +32,15 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str =
 
 
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
-    """Null-aware NOT IN: a null on the right leaves no row, a null on the left is dropped unless the right is empty."""
-    left.createOrReplaceTempView("__not_in_left")
-    right.createOrReplaceTempView("__not_in_right")
-    return left.sparkSession.sql(f"SELECT * FROM __not_in_left WHERE `{column}` NOT IN (SELECT `{other}` FROM __not_in_right)")
+    """Null-aware NOT IN: a null on the right leaves no row, a null on the left is dropped unless the right is empty.
+
+    One aggregate tells whether the right side is empty or has a null; the rest is an
+    equi-join, so neither side has to be broadcast.
+    """
+    value = right.select(F.col(other).alias("__value"))
+    state = value.agg(F.count("*").alias("__rows"), F.count("__value").alias("__known"))  # one row
+    kept = left.join(value, F.col(column) == F.col("__value"), "left_anti").join(F.broadcast(state))
+    return kept.filter((F.col("__rows") == 0) | ((F.col("__rows") == F.col("__known")) & F.col(column).isNotNull())).drop("__rows", "__known")
 
 
 def joined_by_size(left: DataFrame, right: DataFrame, on: list[str], right_rows: int, threshold: int = 10_000) -> DataFrame:

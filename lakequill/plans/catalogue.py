@@ -12,7 +12,7 @@ from lakequill.plans.tables import run_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TEXTS = {**operators_sql.SQL, **tpch.SQL}
+TEXTS = {**operators_sql.SQL, **functions_queries.SQL, **tpch.SQL}
 
 
 def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def _run(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: partial(_run, text) for name, (text, _) in TEXTS.items()} | functions_queries.queries() | engine_queries.queries()
+    return {name: partial(_run, text) for name, (text, _) in TEXTS.items()} | engine_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: other or text for name, (text, other) in TEXTS.items()} | functions_queries.oracle_sql() | engine_queries.oracle_sql()
+    return {name: other or text for name, (text, other) in TEXTS.items()} | engine_queries.oracle_sql()

@@ -1,8 +1,10 @@
 """The SQL front end: names of a registry, numbered parameters, DDL and DML, metadata, EXPLAIN.
 
-A query is parsed, analysed and optimised by Catalyst; the engine only maps table names to
-views and ``$n`` to named parameters. Tables that DML changes are Parquet snapshots: INSERT
-adds files to the current one, DELETE writes the next one and then swaps the pointer.
+A query is parsed, analysed and optimised by Catalyst; the engine maps table names to
+views, ``$n`` to named parameters, and rewrites what its semantics have otherwise
+(functions, null order, frames, whole division). Tables that DML changes are Parquet
+snapshots: INSERT adds files to the current one, DELETE writes the next one and swaps the
+pointer. Readers of an old snapshot keep it until ``vacuum()``.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ import re
 import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from lakequill.plans import lexer
-from lakequill.sources.metadata import metadata_tables
-from lakequill.sources.registry import Registry, Table, TableNotFound
+from lakequill.plans import lexer, semantics
+from lakequill.plans.names import rename_tables
+from lakequill.sources import metadata
+from lakequill.sources.registry import Registry, Table, TableNotFound, storage_uri
 
 _NAME = r"((?:`[^`]+`|[\w]+)(?:\.(?:`[^`]+`|[\w]+)){0,2})"
 
@@ -30,12 +34,13 @@ class Engine:
         self.registry = registry or Registry(spark)
         self._warehouse = warehouse or spark.conf.get("spark.sql.warehouse.dir")
         self._id = uuid.uuid4().hex[:8]
+        self._retired: list[str] = []
 
     # queries
 
     def sql(self, text: str, params: list[Any] | None = None) -> DataFrame:
         """Run one statement. ``params`` are the values of ``$1``, ``$2``, ..., bound as typed values."""
-        text = text.strip().rstrip(";")
+        text = lexer.without_comments(text).rstrip("; \n")
         head = (lexer.words(text, 3) + ["", "", ""])[:3]
         match head:
             case ["EXPLAIN", *_]:
@@ -58,28 +63,55 @@ class Engine:
         return self._query(text, params)
 
     def explain(self, text: str, params: list[Any] | None = None) -> DataFrame:
-        """One row, one column ``plan``: the optimised logical plan, indented."""
+        """One row, one column ``plan``: the optimised logical plan, indented, without the numbers of columns."""
         plan = self._query(text, params)._jdf.queryExecution().optimizedPlan().toString()
+        plan = re.sub(r"#\d+L?", "", plan)
+        plan = re.sub(r"(?m)^[ :]*(?:[+:]- )?", lambda m: "  " * (len(m[0]) // 3), plan).rstrip()
         return self.spark.createDataFrame([(plan,)], "plan string")
 
     def _query(self, text: str, params: list[Any] | None = None) -> DataFrame:
-        text, used = lexer.numbered_to_named(text)
+        text = lexer.without_comments(text)
+        used = lexer.numbered_to_named(text)[1]
         if used and (not params or used[-1] > len(params)):
             raise ValueError(f"parameter ${used[-1]} has no value")
-        metadata: dict = {}
 
         def view_of(parts: tuple[str, ...]) -> str | None:
-            if len(parts) >= 2 and parts[-2].lower() in ("information_schema", "pg_catalog") or parts[-1].lower().startswith("pg_") and len(parts) == 1:
-                metadata.update(metadata or metadata_tables(self.registry))
-                key = (parts[-2].lower() if len(parts) > 1 else "pg_catalog", parts[-1].lower())
-                return self._view(f"lq_{self._id}_{'_'.join(key)}", metadata[key]) if key in metadata else None
+            if (key := metadata.key_of(parts)) is not None:
+                return self._view(f"lq_{self._id}_{'_'.join(key)}", metadata.relation(self.registry, key))
             if not self.registry.has(parts):
                 return None
             full = self.registry.full_name(parts)
             return self._view(f"lq_{self._id}_" + "__".join(full), self.registry.resolve(full).load())
 
-        text = lexer.rename_tables(text, view_of)
-        return self.spark.sql(text, args={f"p{n}": params[n - 1] for n in used}) if used else self.spark.sql(text)
+        named = rename_tables(text, view_of)
+        quote = lambda s: "'" + s.replace("'", "''") + "'"
+        session = {"CURRENT_DATABASE": quote(self.registry.catalog), "CURRENT_CATALOG": quote(self.registry.catalog), "CURRENT_SCHEMA": quote(self.registry.schema)}
+        args = {f"p{n}": params[n - 1] for n in used}
+
+        def run(sql: str) -> DataFrame:
+            return self.spark.sql(sql, args=args) if used else self.spark.sql(sql)
+
+        plain = lexer.numbered_to_named(semantics.rewritten(named, session, anti=False))[0]
+        sql = lexer.numbered_to_named(semantics.rewritten(named, session))[0]
+        try:
+            df = run(sql)
+        except AnalysisException:
+            if sql == plain:
+                raise
+            sql = plain  # a correlated NOT IN
+            df = run(sql)
+        while "/" in sql and (places := semantics.whole_divisions(df, sql)):
+            for place in reversed(places):
+                sql = f"{sql[:place]} div {sql[place + 1 :]}"
+            df = run(sql)
+        return df
+
+    def export(self, text: str, location: str, kind: str = "parquet", params: list[Any] | None = None, **options: str) -> None:
+        """Write a query's rows to a new folder: parquet, csv (with a header), orc or json; ``compression`` and other options are the writer's."""
+        if kind not in ("parquet", "csv", "orc", "json"):
+            raise LookupError(f"unknown format: {kind}")
+        options = ({"header": "true"} if kind == "csv" else {}) | options
+        self.sql(text, params).write.options(**options).format(kind).save(storage_uri(location))
 
     def register_function(self, name: str, function: Any) -> None:
         """A scalar or aggregate user function (best a pandas UDF) for SQL texts."""
@@ -113,11 +145,11 @@ class Engine:
     # definitions
 
     def _folder(self, full: tuple[str, str, str], version: int) -> str:
-        return f"{self._warehouse.rstrip('/')}/lakequill_{self._id}/{'/'.join(full)}/v{version}"
+        return f"{self._warehouse.rstrip('/')}/lakequill_{self._id}/{'/'.join(full)}/v{version}-{uuid.uuid4().hex[:8]}"
 
     def _store(self, name: tuple[str, ...], df: DataFrame, version: int = 0) -> None:
         folder = self._folder(self.registry.full_name(name), version)
-        df.write.mode("overwrite").parquet(folder)
+        df.write.parquet(folder)
         schema = df.schema
         self.registry.register(name, Table(lambda: self.spark.read.schema(schema).parquet(folder), "table", snapshot=folder, version=version))
 
@@ -176,7 +208,7 @@ class Engine:
             raise ValueError(f"{m[3]} is not a {m[1].lower()}")
         found = self.registry.unregister(name, if_exists=bool(m[2]))
         if found and found.snapshot:
-            self._remove(found.snapshot)
+            self._retired.append(found.snapshot)
         return self._done()
 
     # changes
@@ -219,12 +251,14 @@ class Engine:
         # Rows for which the predicate is false or unknown stay.
         kept = self._query(f"SELECT * FROM {full} WHERE NOT coalesce(({m[2]}), false)", params) if m[2] else table.load().limit(0)
         self._store(name, kept, table.version + 1)
-        self._remove(table.snapshot)
+        self._retired.append(table.snapshot)
         return self._done()
 
-    def _remove(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def vacuum(self) -> None:
+        """Remove snapshots that no name refers to; DataFrames made from them can't be read any more."""
+        while self._retired:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._retired.pop())
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 __all__ = ["Engine", "TableNotFound"]

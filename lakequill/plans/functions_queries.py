@@ -1,59 +1,38 @@
-"""Queries of the nineteen scalar functions, built from the column builders."""
+"""Queries of the nineteen scalar functions, as texts for the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lakequill.functions import scalar as S
-from lakequill.plans.tables import table
-
-
-def _padded() -> Column:
-    return F.concat(F.lit(" \t"), F.col("event_type"), F.lit("\t "))
-
-
-def _day() -> Column:
-    return F.col("o_orderdate").cast("date")
-
-
-def _lang() -> Column:
-    return F.nullif(F.col("lang"), F.lit("de"))
-
-
-#: name -> (table, kept columns, maker of the result columns, DuckDB expressions); columns need a session, so they are made when asked for
-COLUMNS: dict[str, tuple[str, list[str], Callable[[], dict[str, Column]], dict[str, str]]] = {
-    "f01_upper": ("events", ["event_id"], lambda: {"v": S.upper("event_type")}, {"v": "upper(event_type)"}),
-    "f02_lower": ("customer", ["c_custkey"], lambda: {"v": S.lower("c_mktsegment")}, {"v": "lower(c_mktsegment)"}),
-    "f03_substring": ("part", ["p_partkey"], lambda: {"a": S.substring("p_name", F.lit(3), F.lit(4)), "b": S.substring("p_name", F.lit(-2), F.lit(3)), "c": S.substring("p_name", F.lit(2))}, {"a": "substring(p_name, 3, 4)", "b": "substring(p_name, 1, 3)", "c": "substring(p_name, 2)"}),
-    "f04_trim": ("events", ["event_id"], lambda: {"v": S.trim(_padded())}, {"v": "event_type"}),
-    "f05_ltrim": ("events", ["event_id"], lambda: {"v": S.ltrim(_padded())}, {"v": "event_type || chr(9) || ' '"}),
-    "f06_rtrim": ("events", ["event_id"], lambda: {"v": S.rtrim(_padded())}, {"v": "' ' || chr(9) || event_type"}),
-    "f07_concat": ("documents", ["doc_id"], lambda: {"v": S.concat("source", F.lit("-"), _lang())}, {"v": "source || '-' || nullif(lang, 'de')"}),
-    "f08_length": ("documents", ["doc_id"], lambda: {"v": S.length("text"), "w": S.length(_lang())}, {"v": "length(text)", "w": "length(nullif(lang, 'de'))"}),
-    "f09_replace": ("part", ["p_partkey"], lambda: {"v": S.replace("p_name", F.lit("bl"), F.lit("BL-"))}, {"v": "replace(p_name, 'bl', 'BL-')"}),
-    "f10_position": ("documents", ["doc_id"], lambda: {"v": S.position(F.lit("the"), "text"), "w": S.position(F.lit(""), "text")}, {"v": "position('the' IN text)", "w": "cast(1 AS bigint)"}),
-    "f11_abs": ("customer", ["c_custkey"], lambda: {"v": S.abs_("c_acctbal"), "w": S.abs_(F.col("c_custkey") - 100)}, {"v": "abs(c_acctbal)", "w": "abs(c_custkey - 100)"}),
-    "f12_round": ("lineitem", ["l_orderkey", "l_linenumber"], lambda: {"v": S.round_(F.col("l_quantity") / 7, 4), "w": S.round_(F.col("l_orderkey"), -2)}, {"v": "round(l_quantity / 7, 4)", "w": "round(cast(l_orderkey AS double), -2)"}),
-    "f13_ceil": ("customer", ["c_custkey"], lambda: {"v": S.ceil("c_acctbal")}, {"v": "ceil(c_acctbal)"}),
-    "f14_floor": ("customer", ["c_custkey"], lambda: {"v": S.floor("c_acctbal")}, {"v": "floor(c_acctbal)"}),
-    "f15_mod": ("lineitem", ["l_orderkey", "l_linenumber"], lambda: {"v": S.mod(-F.col("l_quantity"), F.col("l_linenumber") - 1)}, {"v": "mod(-l_quantity, nullif(cast(l_linenumber - 1 AS double), 0))"}),
-    "f16_power": ("part", ["p_partkey"], lambda: {"v": S.power("p_size", F.lit(2)), "w": S.power(F.lit(2), F.lit(-2))}, {"v": "power(cast(p_size AS double), 2.0::double)", "w": "0.25::double"}),
-    "f17_extract": ("orders", ["o_orderkey"], lambda: {"y": S.extract("YEAR", _day()), "m": S.extract("MONTH", _day()), "d": S.extract("DAY", _day())}, {"y": "extract(YEAR FROM o_orderdate)", "m": "extract(MONTH FROM o_orderdate)", "d": "extract(DAY FROM o_orderdate)"}),
-    "f18_current_date": ("region", ["r_regionkey"], lambda: {"v": S.current_date()}, {}),
-    "f19_date_trunc": ("orders", ["o_orderkey"], lambda: {"y": S.date_trunc("YEAR", _day()), "m": S.date_trunc("MONTH", _day()), "d": S.date_trunc("DAY", _day())}, {"y": "date_trunc('year', o_orderdate)::date", "m": "date_trunc('month', o_orderdate)::date", "d": "o_orderdate::date"}),
+_PADDED = "concat(' \t', event_type, '\t ')"
+_DAY = "cast(o_orderdate AS date)"
+
+#: name -> (table, kept columns, engine expressions, DuckDB expressions)
+COLUMNS: dict[str, tuple[str, list[str], dict[str, str], dict[str, str]]] = {
+    "f01_upper": ("events", ["event_id"], {"v": "UPPER(event_type)"}, {"v": "upper(event_type)"}),
+    "f02_lower": ("customer", ["c_custkey"], {"v": "lower(c_mktsegment)"}, {"v": "lower(c_mktsegment)"}),
+    "f03_substring": ("part", ["p_partkey"], {"a": "substring(p_name, 3, 4)", "b": "SUBSTRING(p_name, -2, 3)", "c": "substring(p_name FROM 2)", "d": "substring(p_name, 2, -1)", "e": "substring(p_name, 99)"}, {"a": "substring(p_name, 3, 4)", "b": "substring(p_name, 1, 3)", "c": "substring(p_name, 2)", "d": "''", "e": "''"}),
+    "f04_trim": ("events", ["event_id"], {"v": f"trim({_PADDED})"}, {"v": "event_type"}),
+    "f05_ltrim": ("events", ["event_id"], {"v": f"ltrim({_PADDED})"}, {"v": "event_type || chr(9) || ' '"}),
+    "f06_rtrim": ("events", ["event_id"], {"v": f"rtrim({_PADDED})"}, {"v": "' ' || chr(9) || event_type"}),
+    "f07_concat": ("documents", ["doc_id"], {"v": "concat(source, '-', nullif(lang, 'de'))"}, {"v": "source || '-' || nullif(lang, 'de')"}),
+    "f08_length": ("documents", ["doc_id"], {"v": "length(text)", "w": "length(nullif(lang, 'de'))"}, {"v": "length(text)", "w": "length(nullif(lang, 'de'))"}),
+    "f09_replace": ("part", ["p_partkey"], {"v": "replace(p_name, 'bl', 'BL-')", "w": "replace('ab', '', '-')"}, {"v": "replace(p_name, 'bl', 'BL-')", "w": "'-a-b-'"}),
+    "f10_position": ("documents", ["doc_id"], {"v": "position('the' IN text)", "w": "position('', text)"}, {"v": "position('the' IN text)", "w": "cast(1 AS bigint)"}),
+    "f11_abs": ("customer", ["c_custkey"], {"v": "abs(c_acctbal)", "w": "abs(c_custkey - 100)"}, {"v": "abs(c_acctbal)", "w": "abs(c_custkey - 100)"}),
+    "f12_round": ("lineitem", ["l_orderkey", "l_linenumber"], {"v": "round(l_quantity / 7, 4)", "w": "round(l_orderkey, -2)", "x": "round(2.5)"}, {"v": "round(l_quantity / 7, 4)", "w": "round(cast(l_orderkey AS double), -2)", "x": "3.0::double"}),
+    "f13_ceil": ("customer", ["c_custkey"], {"v": "ceil(c_acctbal)", "w": "ceil(c_custkey)"}, {"v": "ceil(c_acctbal)", "w": "cast(c_custkey AS double)"}),
+    "f14_floor": ("customer", ["c_custkey"], {"v": "floor(c_acctbal)", "w": "floor(c_custkey)"}, {"v": "floor(c_acctbal)", "w": "cast(c_custkey AS double)"}),
+    "f15_mod": ("lineitem", ["l_orderkey", "l_linenumber"], {"v": "mod(-l_quantity, l_linenumber - 1)"}, {"v": "mod(-l_quantity, nullif(cast(l_linenumber - 1 AS double), 0))"}),
+    "f16_power": ("part", ["p_partkey"], {"v": "power(p_size, 2)", "w": "power(2, -2)"}, {"v": "power(cast(p_size AS double), 2.0::double)", "w": "0.25::double"}),
+    "f17_extract": ("orders", ["o_orderkey"], {"y": f"extract(YEAR FROM {_DAY})", "m": f"EXTRACT(MONTH FROM {_DAY})", "d": "extract(DAY FROM o_orderdate)"}, {"y": "extract(YEAR FROM o_orderdate)", "m": "extract(MONTH FROM o_orderdate)", "d": "extract(DAY FROM o_orderdate)"}),
+    "f18_current_date": ("region", ["r_regionkey"], {"v": "CURRENT_DATE"}, {"v": "cast(now() AT TIME ZONE 'UTC' AS date)"}),
+    "f19_date_trunc": ("orders", ["o_orderkey"], {"y": f"date_trunc('year', {_DAY})", "m": f"date_trunc('MONTH', {_DAY})", "d": f"date_trunc('day', {_DAY})"}, {"y": "date_trunc('year', o_orderdate)::date", "m": "date_trunc('month', o_orderdate)::date", "d": "o_orderdate::date"}),
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def of(name: str) -> Callable[[SparkSession, str], DataFrame]:
-        source, keep, columns, _ = COLUMNS[name]
-        return lambda spark, sf_dir: table(spark, sf_dir, source).select(*keep, *(c.alias(n) for n, c in columns().items()))
-
-    return {name: of(name) for name in COLUMNS}
+def _select(name: str, expressions: dict[str, str]) -> str:
+    source, keep = COLUMNS[name][:2]
+    return f"SELECT {', '.join([*keep, *(f'{x} AS {n}' for n, x in expressions.items())])} FROM {source}"
 
 
-def oracle_sql() -> dict[str, str]:
-    return {name: f"SELECT {', '.join(keep)}, {', '.join(f'{x} AS {n}' for n, x in duck.items())} FROM {source}" for name, (source, keep, _, duck) in COLUMNS.items() if duck}
+#: name -> (engine text, DuckDB text)
+SQL: dict[str, tuple[str, str | None]] = {name: (_select(name, mine), _select(name, duck)) for name, (_, _, mine, duck) in COLUMNS.items()}

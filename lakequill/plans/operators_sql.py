@@ -13,7 +13,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "p03_alias": ("SELECT s.s_name AS supplier_name FROM supplier AS s", None),
     "p04_filter": ("SELECT o_orderkey, o_totalprice FROM orders WHERE nullif(o_orderstatus, 'F') = 'O'", None),
     "p05_compare": ("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_quantity <> 40 AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'", None),
-    "p06_arith": ("SELECT l_orderkey, l_linenumber, l_orderkey div 7 AS d, l_orderkey % 7 AS m, l_linenumber * 3 - 1 AS t FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS d, l_orderkey % 7 AS m, l_linenumber * 3 - 1 AS t FROM lineitem"),
+    "p06_arith": ("SELECT l_orderkey, l_linenumber, l_orderkey / 7 AS d, l_quantity / 4 AS q, 7 / 2 AS whole, l_orderkey % 7 AS m, l_linenumber * 3 - 1 AS t FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS d, l_quantity / 4 AS q, cast(3 AS bigint) AS whole, l_orderkey % 7 AS m, l_linenumber * 3 - 1 AS t FROM lineitem"),
     "p07_logic": ("SELECT l_orderkey, l_linenumber, (nullif(l_linenumber, 2) > 3) OR (l_linenumber > 4) AS either, (nullif(l_linenumber, 2) > 3) AND (l_linenumber > 4) AS both_true, NOT (nullif(l_linenumber, 2) > 3) AS negated FROM lineitem", None),
     "p08_unary": ("SELECT l_orderkey, l_linenumber, -l_linenumber AS neg, +l_linenumber AS pos FROM lineitem", None),
     "p09_is_null": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE nullif(l_linenumber, 3) IS NULL OR nullif(l_linenumber, 5) IS NOT NULL", None),
@@ -31,8 +31,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     # joins
     "j01_inner": ("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = 3", None),
     "j02_left": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey", None),
-    "j02_right": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 50) c RIGHT JOIN orders ON c_custkey = o_custkey", None),
-    "j02_full": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 60) c FULL JOIN (SELECT * FROM orders WHERE o_custkey BETWEEN 40 AND 90) o ON c_custkey = o_custkey", None),
+    "j02_right": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c RIGHT JOIN orders ON c_custkey = o_custkey", None),
+    "j02_full": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) o ON c_custkey = o_custkey", None),
     "j03_left_residual": ("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '1-%' GROUP BY c_custkey", None),
     "j05_theta": ("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey", None),
     "j05_left_theta": ("SELECT r_name, n_name FROM region LEFT JOIN nation ON n_nationkey < r_regionkey AND n_regionkey <> r_regionkey", None),
@@ -65,30 +65,36 @@ SQL: dict[str, tuple[str, str | None]] = {
     "a11_agg_expr": (f"SELECT l_linestatus, cast(sum({_D.format('l_extendedprice')} * (1 - {_D.format('l_discount')})) AS double) AS revenue, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS big FROM lineitem GROUP BY l_linestatus", f"SELECT l_linestatus, cast(sum({_D.format('l_extendedprice')} * (1 - {_D.format('l_discount')})) AS double) AS revenue, cast(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS bigint) AS big FROM lineitem GROUP BY l_linestatus"),
     "a12_two_phase": ("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type", None),
     # windows
-    "w01_row_number": ("SELECT o_orderkey, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS bigint) AS rn FROM orders", None),
-    "w02_rank": ("SELECT p_partkey, cast(rank() OVER (PARTITION BY p_brand ORDER BY p_size NULLS LAST) AS bigint) AS r FROM part", None),
-    "w03_dense_rank": ("SELECT p_partkey, cast(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size NULLS LAST) AS bigint) AS r FROM part", None),
-    "w04_partition_agg": (f"SELECT o_orderkey, cast(sum({_D.format('o_totalprice')}) OVER (PARTITION BY o_custkey) AS double) AS total, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most, min(o_totalprice) OVER (PARTITION BY o_custkey) AS least FROM orders", None),
+    "w01_row_number": ("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn FROM orders"),
+    "w02_rank": ("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 7)) AS r FROM part", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 7) NULLS LAST) AS r FROM part"),
+    "w03_dense_rank": ("SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 7)) AS r FROM part", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY nullif(p_size, 7) NULLS LAST) AS r FROM part"),
+    "w04_partition_agg": (f"SELECT o_orderkey, sum({_D.format('o_totalprice')}) OVER (PARTITION BY o_custkey) AS total, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most, min(o_totalprice) OVER (PARTITION BY o_custkey) AS least FROM orders", f"SELECT o_orderkey, cast(sum({_D.format('o_totalprice')}) OVER (PARTITION BY o_custkey) AS double) AS total, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most, min(o_totalprice) OVER (PARTITION BY o_custkey) AS least FROM orders"),
     "w05_partition_count": ("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, count(nullif(o_orderstatus, 'F')) OVER (PARTITION BY o_custkey) AS open FROM orders", None),
-    "w06_running": (f"SELECT o_orderkey, cast(sum({_D.format('o_totalprice')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS double) AS running FROM orders", None),
+    "w06_running": (f"SELECT o_orderkey, sum({_D.format('o_totalprice')}) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS running, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS so_far FROM orders", f"SELECT o_orderkey, cast(sum({_D.format('o_totalprice')}) OVER w AS double) AS running, count(*) OVER w AS so_far FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
     # order, limit
-    "o01_order": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderstatus ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey", None),
-    "o02_nulls_last": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey LIMIT 50", None),
-    "o03_order_alias": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC NULLS LAST, count(*) + o_custkey LIMIT 25", None),
-    "o06_limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET 5", None),
+    "w06_running_ties": ("SELECT x.k, sum(x.v) OVER (ORDER BY x.k) AS s, count(*) OVER (ORDER BY x.k) AS n FROM (SELECT * FROM (VALUES (1, 10), (2, 20), (2, 20), (3, 5)) v(k, v)) x", "SELECT k, s, n FROM (VALUES (1, 10.0::double, 1::bigint), (2, 30.0::double, 2::bigint), (2, 50.0::double, 3::bigint), (3, 55.0::double, 4::bigint)) v(k, s, n)"),
+    "o01_order": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey", None),
+    "o02_nulls_last": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey) AS place, rank() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F')) AS up FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS place, rank() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') NULLS LAST) AS up FROM orders"),
+    "o03_order_alias": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, count(*) + o_custkey", None),
+    "o02_nulls_top": ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey DESC LIMIT 20", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey DESC LIMIT 20"),
+    "o04_order_unselected": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30", None),
+    "o05_order_ordinal": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1 DESC, 2 LIMIT 30", None),
+    "o06_limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
     "o07_top_k": ("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 100", None),
     # sets
     "t01_union_all": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey FROM supplier", None),
     "t02_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT r_regionkey FROM region", None),
     "t04_distinct": ("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", None),
-    "t05_intersect": ("SELECT n_nationkey AS k FROM nation INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey < 30", None),
+    "t05_intersect": ("SELECT n_nationkey AS k FROM nation INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900", None),
     "t06_except": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000", None),
-    "t07_align": ("SELECT n_nationkey AS v FROM nation UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey < 20 UNION ALL SELECT s_acctbal FROM supplier", None),
-    "t08_chained": ("(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 10", None),
+    "t07_align": ("SELECT n_nationkey AS v FROM nation UNION ALL SELECT o_orderkey FROM orders UNION ALL SELECT s_acctbal FROM supplier", None),
+    "t08_chained": ("(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000", None),
     # subqueries
     "q01_scalar": ("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) + 20 FROM part)", None),
     "q01_scalar_empty": ("SELECT n_nationkey, (SELECT r_name FROM region WHERE r_regionkey = 99) AS nothing FROM nation", None),
     "q03_correlated": ("SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
     "q04_cte": ("WITH per_customer(k, n) AS (SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey), busy(k, n) AS (SELECT k, n FROM per_customer WHERE n > 10) SELECT a.k, a.n, b.n AS same FROM busy a JOIN per_customer b ON a.k = b.k", None),
+    "q04_cte_shadow": ("WITH nation AS (SELECT r_regionkey AS x, r_name AS y FROM region), region AS (SELECT x + 1 AS z FROM nation) SELECT n.x, n.y, r.z FROM nation n JOIN region r ON n.x = r.z", None),
+    "p_extract_from": ("SELECT extract(YEAR FROM orders) AS y, substring(region FROM 1 FOR 2) AS s, count(*) AS n FROM (SELECT cast(o_orderdate AS date) AS orders, o_orderstatus || '-' AS region FROM orders) x GROUP BY 1, 2", None),
     "q06_from": ("SELECT r_name, sub.n FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) sub ON sub.n_regionkey = r_regionkey", None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakequill.plans.engine import Engine
@@ -22,5 +24,10 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, registry)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the warehouse, which every executor sees."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lakequill_scratch/{uuid.uuid4().hex}/{name}"
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return engine(spark, sf_dir).sql(text)

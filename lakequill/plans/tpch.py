@@ -10,6 +10,9 @@ from __future__ import annotations
 _PRICE = "cast(l_extendedprice AS decimal(15,2))"
 _REVENUE = f"{_PRICE} * (1 - cast(l_discount AS decimal(15,2)))"
 
+#: Sizes of the sixteenth query, as published; fixed values.
+_SIZES = "49, 14, 23, 45, 19, 3, 36, 9"
+
 #: name -> (Spark text, DuckDB text or None when it is the same)
 SQL: dict[str, tuple[str, str | None]] = {
     "tpch_q01": (
@@ -157,11 +160,21 @@ SQL: dict[str, tuple[str, str | None]] = {
         """,
         None,
     ),
+    "tpch_q15": (
+        f"""
+        WITH revenue(supplier_no, total) AS (
+          SELECT l_suppkey, sum({_REVENUE}) FROM lineitem
+          WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-04-01 00:00:00' GROUP BY l_suppkey)
+        SELECT s_suppkey, s_name, cast(total AS double) AS total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no
+        WHERE total = (SELECT max(total) FROM revenue) ORDER BY s_suppkey
+        """,
+        None,
+    ),
     "tpch_q16": (
-        """
+        f"""
         SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt
         FROM lineitem JOIN part ON p_partkey = l_partkey
-        WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
+        WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN ({_SIZES})
         GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size
         """,
         None,
@@ -191,6 +204,28 @@ SQL: dict[str, tuple[str, str | None]] = {
         """,
         None,
     ),
+    "tpch_q20": (
+        """
+        SELECT s_name, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        WHERE n_name IN ('NATION_3', 'NATION_7', 'NATION_12') AND s_suppkey IN (
+          SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'STANDARD')
+          GROUP BY l_suppkey, l_partkey
+          HAVING sum(l_quantity) > (SELECT 1.2 * avg(l_quantity) FROM lineitem))
+        ORDER BY s_name
+        """,
+        None,
+    ),
+    "tpch_q21": (
+        """
+        SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation
+        WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R'
+          AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+          AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
+          AND s_nationkey = n_nationkey AND n_regionkey = 1
+        GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100
+        """,
+        None,
+    ),
     "tpch_q22": (
         """
         SELECT c_mktsegment, count(*) AS numcust, cast(sum(cast(c_acctbal AS decimal(15,2))) AS double) AS totacctbal FROM customer

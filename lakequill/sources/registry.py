@@ -22,11 +22,18 @@ class TableNotFound(LookupError):
     pass
 
 
-def storage_uri(uri: str) -> str:
-    """The path for Spark's readers; ``s3://`` and ``az://`` take the schemes of their Hadoop connectors."""
+def storage_uri(uri: str, account: str | None = None) -> str:
+    """The path for Spark's readers; ``s3://`` and ``az://`` take the schemes of their Hadoop connectors.
+
+    ``az://container/x`` names no storage account, so it needs ``account``.
+    """
     found = urlparse(uri)
     if found.scheme not in SCHEMES:
         raise ValueError(f"unsupported storage scheme: {found.scheme}")
+    if found.scheme == "az" and "@" not in found.netloc:
+        if not account:
+            raise ValueError(f"{uri} needs a storage account")
+        return f"abfss://{found.netloc}@{account}.dfs.core.windows.net{found.path}"
     return uri if not found.scheme else SCHEMES[found.scheme] + uri[len(found.scheme) :]
 
 
@@ -50,6 +57,8 @@ class Registry:
 
     def __init__(self, spark: SparkSession, catalog: str = "main", schema: str = "default"):
         self.spark, self.catalog, self.schema = spark, catalog, schema
+        #: Account of ``az://`` locations.
+        self.azure_account: str | None = None
         self._tables: dict[tuple[str, str, str], Table] = {}
         self._schemas: set[tuple[str, str]] = {(catalog, schema)}
         self._connectors: dict[str, Callable[[str, dict[str, str]], Table]] = {"parquet": self._parquet, "csv": self._csv, "orc": self._plain("orc"), "json": self._plain("json"), "hive": self._hive}
@@ -109,18 +118,18 @@ class Registry:
         self.register(name, self._csv(location, {"schema": schema}))
 
     def _parquet(self, location: str, options: dict[str, str]) -> Table:
-        path = storage_uri(location)
+        path = storage_uri(location, self.azure_account)
         return Table(lambda: self.spark.read.parquet(path), "parquet", {"location": path})
 
     def _csv(self, location: str, options: dict[str, str]) -> Table:
         if not options.get("schema"):
             raise ValueError("a CSV table needs its schema; nothing is inferred")
-        path, schema = storage_uri(location), options["schema"]
+        path, schema = storage_uri(location, self.azure_account), options["schema"]
         return Table(lambda: self.spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path), "csv", {"location": path})
 
     def _plain(self, kind: str) -> Callable[[str, dict[str, str]], Table]:
         def make(location: str, options: dict[str, str]) -> Table:
-            path = storage_uri(location)
+            path = storage_uri(location, self.azure_account)
             reader = lambda: self.spark.read.schema(options["schema"]) if options.get("schema") else self.spark.read
             return Table(lambda: getattr(reader(), kind)(path), kind, {"location": path})
 
@@ -144,6 +153,9 @@ class Registry:
 
             catalog = "main"
             schema = "default"
+            [storage]
+            azure_account = "name"  # of az:// locations
+            "fs.s3a.endpoint" = "http://host:9000"  # and any other option of the Hadoop connectors
             [[tables]]
             name = "events"
             format = "csv"          # or parquet
@@ -158,6 +170,10 @@ class Registry:
         self.catalog = environment.get("LAKEQUILL_CATALOG", config.get("catalog", self.catalog))
         self.schema = environment.get("LAKEQUILL_SCHEMA", config.get("schema", self.schema))
         self._schemas.add((self.catalog, self.schema))
+        storage = dict(config.get("storage", {}))
+        self.azure_account = storage.pop("azure_account", self.azure_account)
+        for name, value in storage.items():
+            self.spark._jsc.hadoopConfiguration().set(name, str(value))
         for t in config.get("tables", []):
             options = {}
             if t.get("columns"):

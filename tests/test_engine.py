@@ -7,6 +7,7 @@ import datetime
 import pytest
 
 from lakequill.plans import lexer
+from lakequill.plans.names import rename_tables
 from lakequill.plans.engine import Engine
 from lakequill.sources.registry import Registry, TableNotFound, storage_uri
 
@@ -51,7 +52,7 @@ def test_parameters(engine):
 def test_lexer_keeps_text():
     sql = "SELECT 'it''s', \"a.b\", `x``y`, /* t.c */ 1.5e3 FROM a.b -- end"
     assert "".join(t.text for t in lexer.tokens(sql)) == sql
-    assert lexer.rename_tables(sql, lambda p: "v" if p == ("a", "b") else None) == sql.replace("FROM a.b", "FROM `v` AS `b`")
+    assert rename_tables(sql, lambda p: "v" if p == ("a", "b") else None) == sql.replace("FROM a.b", "FROM `v` AS `b`")
 
 
 def test_create_insert_delete(engine):
@@ -116,6 +117,82 @@ def test_session_and_explain(engine):
     assert rows(engine.sql("SELECT version() IS NOT NULL"))[0][0]
 
 
+def one(engine, text, params=None):
+    found = rows(engine.sql(text, params))
+    assert len(found) == 1
+    return found[0]
+
+
+def test_functions_in_sql(engine):
+    assert one(engine, "SELECT substring('abcdef', -2, 3), substring('abcdef' FROM 2 FOR 2), substring('abcdef', 4, -1), substring(NULL, 1)") == ("abc", "bc", "", None)
+    assert one(engine, "SELECT trim(' \t x\u00a0 '), ltrim('\tx '), rtrim(' x\n'), trim(BOTH 'x' FROM 'xax')") == ("x", "x ", " x", "a")
+    assert one(engine, "SELECT mod(5, 0), mod(-7, 3), replace('ab', '', '-'), replace('', '', '-'), replace('aXa', 'a', ''), position('' IN 'abc'), position('c', 'abc'), power(2, 3)") == (None, -1.0, "-a-b-", "-", "X", 1, 3, 8.0)
+    kinds = dict(engine.sql("SELECT length('a') AS a, position('a' IN 'a') AS b, extract(YEAR FROM DATE '2020-01-01') AS c, round(2.5) AS d, ceil(2) AS e, date_trunc('month', DATE '2020-02-03') AS f, row_number() OVER (ORDER BY 1) AS g").dtypes)
+    assert kinds == {"a": "bigint", "b": "bigint", "c": "bigint", "d": "double", "e": "double", "f": "date", "g": "bigint"}
+    assert one(engine, "SELECT length(trim(concat(' ', upper('ab'), ' ')))") == (2,)
+    for bad in ("SELECT date_trunc('CENTURY', DATE '2020-01-01')", "SELECT extract(WEEK FROM DATE '2020-01-01')"):
+        with pytest.raises(ValueError):
+            engine.sql(bad)
+
+
+def test_whole_division_by_types(engine):
+    assert one(engine, "SELECT 7/2, -7/2, 7.0/2, cast(7 AS double)/2, 100/7/2, (1+2)/2*3, 7 % 4 / 2") == (3, -3, 3.5, 3.5, 7, 3, 1)
+    assert one(engine, "SELECT CASE WHEN 3/2 = 1 THEN 9/2 ELSE 0 END / 3, '7/2', $1/2, $2/2", [7.0, 7]) == (1, "7/2", 3.5, 3)
+    assert one(engine, "SELECT sum(id/2), (SELECT max(user_id)/2 FROM sales.orders) FROM users WHERE id/2 IN (SELECT user_id/2 FROM sales.orders)") == (2, 1)
+
+
+def test_null_order_and_frames(engine, spark):
+    engine.registry.register_dataframe("t", spark.createDataFrame([(1, 1), (2, None), (3, 2)], "k int, v int"))
+    assert [r[0] for r in rows(engine.sql("SELECT k FROM t ORDER BY v"))] == [1, 3, 2]
+    assert [r[0] for r in rows(engine.sql("SELECT k FROM t ORDER BY v DESC LIMIT 3"))] == [3, 1, 2]
+    assert [r[0] for r in rows(engine.sql("SELECT k FROM t ORDER BY v NULLS FIRST, k"))] == [2, 1, 3]
+    assert rows(engine.sql("SELECT s FROM (SELECT k, sum(x) OVER (ORDER BY k) AS s FROM (VALUES (1, 10), (2, 20), (2, 5)) v(k, x)) ORDER BY s")) in ([(10.0,), (30.0,), (35.0,)], [(10.0,), (15.0,), (35.0,)])
+
+
+def test_names_in_scopes(engine, spark):
+    assert one(engine, "WITH users AS (SELECT 1 AS x) SELECT * FROM users") == (1,)
+    assert one(engine, "WITH u AS (SELECT count(*) AS n FROM users), users AS (SELECT 5 AS z) SELECT n, z FROM u, users") == (3, 5)
+    assert one(engine, "SELECT (WITH users AS (SELECT 7 AS x) SELECT x FROM users) AS a, count(*) FROM users") == (7, 3)
+    assert one(engine, "SELECT extract(YEAR FROM users), substring(orders FROM 1 FOR 1) FROM (SELECT DATE '2020-05-05' AS users, 'abc' AS orders) x") == (2020, "a")
+    assert one(engine, "SELECT count(*) FROM users u JOIN (users v JOIN sales.orders o ON o.user_id = v.id) ON u.id = v.id, users w") == (12,)
+
+
+def test_not_in_is_no_growing_broadcast(engine, spark):
+    engine.registry.register_dataframe("t", spark.createDataFrame([(1,), (None,), (9,)], "k int"))
+    engine.registry.register_dataframe("none", spark.createDataFrame([], "k int"))
+    assert rows(engine.sql("SELECT k FROM t WHERE k NOT IN (SELECT id FROM users) AND true")) == [(9,)]
+    assert rows(engine.sql("SELECT id FROM users WHERE id NOT IN (SELECT k FROM t)")) == []
+    assert len(rows(engine.sql("SELECT k FROM t WHERE k NOT IN (SELECT k FROM none)"))) == 3
+    assert rows(engine.sql("SELECT k FROM t WHERE k = 1 OR k NOT IN (SELECT id FROM users) ORDER BY k")) == [(1,), (9,)]
+    assert rows(engine.sql("SELECT u.id FROM users u WHERE u.id NOT IN (SELECT o.user_id FROM sales.orders o WHERE o.user_id = u.id AND o.amount > 150)")) == [(1,)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = engine.sql("SELECT id FROM users WHERE id NOT IN (SELECT k FROM t)")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan
+
+
+def test_comments_and_readers_of_old_snapshots(engine):
+    engine.sql("/* a */ -- b\nCREATE TABLE t AS SELECT id FROM users")
+    seen = engine.sql("SELECT id FROM t")
+    engine.sql("-- c\nDELETE FROM t WHERE id > 1 -- d")
+    assert seen.count() == 3 and engine.sql("SELECT id FROM t").count() == 1
+    engine.sql("DROP TABLE t;")
+    engine.sql("CREATE TABLE t (id INT)")
+    engine.vacuum()
+    assert engine.sql("SELECT id FROM t").count() == 0
+
+
+def test_export(engine, tmp_path):
+    engine.export("SELECT id, name FROM users WHERE id > $1", f"{tmp_path}/out", "csv", [1])
+    engine.registry.register_csv("back", f"{tmp_path}/out", "id int, name string")
+    assert sorted(rows(engine.sql("SELECT id, name FROM back"))) == [(2, "Bob"), (3, "Carol")]
+    with pytest.raises(LookupError):
+        engine.export("SELECT 1 AS x", f"{tmp_path}/y", "xls")
+
+
 def test_file_sources(spark, tmp_path):
     r = Registry(spark)
     (tmp_path / "a.csv").write_text("id,name\n1,alice\n2,bob\n3,carol\n")
@@ -145,13 +222,15 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
 
 def test_config(spark, tmp_path):
     (tmp_path / "e.csv").write_text("id,at\n1,2020-01-01\n")
-    (tmp_path / "c.toml").write_text(f'catalog = "lake"\nschema = "raw"\n[[tables]]\nname = "e"\nformat = "csv"\npath = "{tmp_path}/e.csv"\ncolumns = [{{name = "id", type = "int64", nullable = false}}, {{name = "at", type = "date32"}}]\n')
+    (tmp_path / "c.toml").write_text(f'catalog = "lake"\nschema = "raw"\n[storage]\nazure_account = "acc"\n"fs.s3a.endpoint" = "http://host:9000"\n[[tables]]\nname = "e"\nformat = "csv"\npath = "{tmp_path}/e.csv"\ncolumns = [{{name = "id", type = "int64", nullable = false}}, {{name = "at", type = "date32"}}]\n')
     r = Registry(spark)
     r.load_config(tmp_path / "c.toml", {"LAKEQUILL_SCHEMA": "best"})
+    assert r.azure_account == "acc" and spark._jsc.hadoopConfiguration().get("fs.s3a.endpoint") == "http://host:9000"
     assert rows(r.resolve("lake.best.e").load()) == [(1, datetime.date(2020, 1, 1))]
 
 
 def test_storage_uris():
-    assert storage_uri("s3://b/k") == "s3a://b/k" and storage_uri("az://c/x") == "abfss://c/x" and storage_uri("/tmp/x") == "/tmp/x"
-    with pytest.raises(ValueError):
-        storage_uri("ftp://x/y")
+    assert storage_uri("s3://b/k") == "s3a://b/k" and storage_uri("az://c/x", "acc") == "abfss://c@acc.dfs.core.windows.net/x" and storage_uri("az://c@a.host/x") == "abfss://c@a.host/x" and storage_uri("/tmp/x") == "/tmp/x"
+    for bad in ("ftp://x/y", "az://c/x"):
+        with pytest.raises(ValueError):
+            storage_uri(bad)
