@@ -95,25 +95,39 @@ def secrets() -> str:
             FROM (SELECT id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, string_split_regex(t, '{quote(pattern)}') AS g, regexp_extract_all(t, '{quote(pattern)}') AS m FROM docs WHERE regexp_matches(t, '{quote(pattern)}')))"""
 
     alphabets = " ".join(f"WHEN regexp_matches(found, '{p}') THEN '{a}'" for _, p, a in S.ALPHABETS if p)
+    tables = ", ".join(f"('{a}', {list(S.ratios(a))}::INTEGER[])" for _, _, a in S.ALPHABETS)
     kinds = " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(S.KINDS))
     listed = f"coalesce(string_agg(CASE rank {kinds} END || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
+    tail = lambda z: f"(1 / (1 + exp(greatest(-700, least(700, {S.TAIL[0]} * ({z}) + {S.TAIL[1]} * ({z}) * ({z}) * ({z}))))))"
+    cauchy = " + ".join(f"tan((0.5 - least(0.99, greatest(1e-12, {p}))) * pi())" for p in ("squares_p", "runs_p", "serial_p"))
+
+    def rejected(p: str, level: float) -> str:
+        return f"""SELECT id, start FROM (SELECT *, max(CASE WHEN w <= i * {level} / many THEN i ELSE 0 END) OVER (PARTITION BY id) AS last FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY w, start, stop) AS i FROM (SELECT *, {p} * total / many / n AS w FROM judged))) WHERE i <= last"""
+
     return f"""
     WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+    ratios(alphabet, ratio) AS (VALUES {tables}),
     raw AS ({matches(0, S.ASSIGN)} UNION ALL {matches(1, S.ACCESS)} UNION ALL {matches(2, S.HEX)}),
     base AS (SELECT id, rank, start, start + length(found) AS stop FROM raw WHERE rank > 0 OR length(regexp_extract(found, '{quote(S.ASSIGN)}', 2)) >= {S.ASSIGN_LEAST}),
     runs AS (SELECT r.id, found, start, start + length(found) AS stop, length(found)::DOUBLE AS n, CASE {alphabets} ELSE '{S.ALPHABETS[-1][2]}' END AS alphabet FROM ({matches(3, S.RUN)}) r
-        WHERE regexp_matches(found, '{S.HAS_DIGIT}') AND regexp_matches(found, '{S.HAS_LETTER}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = r.id AND b.start < r.start + length(found) AND r.start < b.stop)),
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = r.id AND b.start < r.start + length(found) AND r.start < b.stop)),
     signs AS (SELECT id, start, n, length(alphabet)::DOUBLE AS k, unnest(range(1, length(found) + 1)) AS pos, CASE WHEN length(alphabet) = 64 THEN translate(found, '-_', '+/') ELSE found END AS f, alphabet FROM runs),
-    v AS (SELECT id, start, n, k, pos, (instr(alphabet, f[pos]) - 1)::DOUBLE AS v, lead(instr(alphabet, f[pos]) - 1) OVER (PARTITION BY id, start ORDER BY pos)::DOUBLE AS w FROM signs),
+    v AS (SELECT id, start, n, k, pos, alphabet, (instr(alphabet, f[pos]) - 1)::DOUBLE AS v, lead(instr(alphabet, f[pos]) - 1) OVER (PARTITION BY id, start ORDER BY pos)::DOUBLE AS w FROM signs),
     squares AS (SELECT id, start, sum(c * c)::DOUBLE AS squares FROM (SELECT id, start, v, count(*) AS c FROM v GROUP BY id, start, v) GROUP BY id, start),
+    likely AS (SELECT id, start, sum(ratio[cast(v * k + w AS integer) + 1])::DOUBLE AS ratio FROM v JOIN ratios r ON r.alphabet = v.alphabet WHERE w IS NOT NULL GROUP BY id, start),
     means AS (SELECT id, start, any_value(n) AS n, any_value(k) AS k, avg(v) AS mean, count(*) FILTER (v > (k - 1) / 2)::DOUBLE AS high, count(*) FILTER ((v > (k - 1) / 2) <> (w > (k - 1) / 2)) + 1 AS changes FROM v GROUP BY id, start),
     serial AS (SELECT v.id, v.start, sum((v - mean) * (v - mean)) AS variance, sum((v - mean) * (w - mean)) AS joint FROM v JOIN means m ON m.id = v.id AND m.start = v.start GROUP BY v.id, v.start),
-    tested AS (SELECT m.id, m.start, m.start + m.n::BIGINT AS stop, ((greatest(k * {S.ORDINARY_SQUARES} - 1, 1.2) * (n - 1) - (squares * k / n - n - (k - 1))) / (sqrt(n) * k) - {S.ORDINARY_SHORT}) / {S.ORDINARY_SPREAD} AS below, n,
-        abs((changes - (1 + 2 * high * (n - high) / n)) / sqrt(greatest(0.25, 2 * high * (n - high) * (2 * high * (n - high) - n) / (n * n * (n - 1))))) AS runs_z,
-        abs(CASE WHEN variance > 0 THEN joint / variance ELSE 1 END * sqrt(n)) AS serial_z FROM means m JOIN squares q ON q.id = m.id AND q.start = m.start JOIN serial s ON s.id = m.id AND s.start = m.start),
-    judged AS (SELECT *, (1 / (1 + exp(greatest(-30, least(30, below)) * 1.5976 + power(greatest(-30, least(30, below)), 3) * 0.07056))) * ({S.USUAL_LENGTH} / n) AS p FROM tested),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, start, stop) AS i, count(*) OVER (PARTITION BY id) AS many FROM judged),
-    found AS (SELECT r.id, 3 AS rank, r.start, r.stop FROM ranked r JOIN (SELECT id, max(i) FILTER (p <= i * {S.LEVEL} / many) AS last FROM ranked GROUP BY id) l ON l.id = r.id AND r.i <= l.last WHERE greatest(runs_z, serial_z) <= {S.MOST_Z}),
+    scaled AS (SELECT m.id, m.start, m.start + m.n::BIGINT AS stop, n, exp(least(0, -ratio / 100)) AS ordinary,
+        (cbrt((squares * k / n - n) / (k - 1)) - 1 + (n - 1) / (n * (k - 1) * 4.5)) / sqrt((n - 1) / (n * (k - 1) * 4.5)) AS squares_z,
+        abs((changes - 1 - 2 * high * (n - high) / n) / sqrt(greatest(0.25, 2 * high * (n - high) * (2 * high * (n - high) - n) / (n * n * (n - 1))))) AS runs_z,
+        abs((CASE WHEN variance > 0 THEN joint / variance ELSE 1 END + 1 / n) * n * sqrt(n - 1) / (n - 2)) AS serial_z
+        FROM means m JOIN squares q ON q.id = m.id AND q.start = m.start JOIN serial s ON s.id = m.id AND s.start = m.start JOIN likely l ON l.id = m.id AND l.start = m.start),
+    tested AS (SELECT *, {tail('squares_z')} AS squares_p, 2 * {tail('runs_z')} AS runs_p, 2 * {tail('serial_z')} AS serial_p FROM scaled),
+    judged AS (SELECT *, 0.5 - atan(({cauchy}) / 3) / pi() AS random, sum(n) OVER (PARTITION BY id) AS total, count(*) OVER (PARTITION BY id) AS many FROM tested),
+    odd AS ({rejected('ordinary', S.LEVEL)}),
+    even AS ({rejected('random', S.REJECTED)}),
+    found AS (SELECT j.id, 3 AS rank, j.start, j.stop FROM judged j JOIN odd o ON o.id = j.id AND o.start = j.start ANTI JOIN even e ON e.id = j.id AND e.start = j.start),
     b AS (SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, {listed}, '') AS spans FROM base GROUP BY id),
     a AS (SELECT id, {listed}, '') AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM found) GROUP BY id)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
