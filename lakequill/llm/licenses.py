@@ -103,13 +103,15 @@ def own_licenses(docs: DataFrame) -> DataFrame:
     templates = spark.createDataFrame([(False, *r) for r in rows] + [(True, *r) for r in full_rows], "whole boolean, template string, term string, weight double")
     frequencies = spark.createDataFrame([(False, *r) for r in idf.items()] + [(True, *r) for r in full_idf.items()], "whole boolean, term string, idf double")
     cued = docs.filter(F.col("text").rlike(WRAPPED_CUE)).withColumn("n", _n_words(F.col("text")))
-    as_units = lambda texts, scope: F.transform(texts, lambda x, i: F.struct(F.lit(scope).alias("scope"), i.alias("at"), x.alias("line")))
+    # Words and terms are made before anything is exploded: an expression beside explode() runs for each of its rows.
+    terms_in = lambda x: F.filter(F.split(F.lower(x), TERM), lambda t: t != "")
+    as_units = lambda texts, scope: F.transform(texts, lambda x, i: F.struct(F.lit(scope).alias("scope"), i.alias("at"), _n_words(x).alias("words"), terms_in(x).alias("terms")))
     lines = as_units(F.filter(F.split("text", LINE), lambda x: x.rlike(CUE)), 0)
     blocks = as_units(F.filter(F.split(F.regexp_replace("text", MARK, ""), BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), 1)
     whole = as_units(F.array("text"), 2)
     pieces = as_units(F.filter(F.split("text", BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), 3)
     units = cued.select("key", "n", F.explode(F.concat(lines, blocks, whole, pieces)).alias("u")).select("key", "n", "u.*")
-    terms = units.select("key", "n", "scope", "at", _n_words(F.col("line")).alias("words"), F.explode(F.filter(F.split(F.lower("line"), TERM), lambda t: t != "")).alias("term"))
+    terms = units.select("key", "n", "scope", "at", "words", F.explode("terms").alias("term"))
     unit = ["key", "n", "scope", "at", "words"]
     counted = terms.groupBy(*unit, "term").agg(F.count("*").alias("tf")).withColumn("whole", F.col("scope") >= 2)
     # Both tables of templates are parameters of this module, some thousand rows.
