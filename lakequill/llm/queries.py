@@ -57,8 +57,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, so that some languages shrink and others grow."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), LANGUAGE_SHARES)
+    return mixing.rates(docs, docs.select("doc_id", F.col("lang").alias("domain")), LANGUAGE_SHARES, total=1.0)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_stages(spark, tmp_path):
             assert {r.doc_id: r.text for r in after} == {k: redacted(r.text) for k, r in before.items()}
             assert not any(re.search("[0-9a-f]{16,}", r.text) for r in after)
         elif name == "mixing":
-            _, rate, _ = brute_rates([r.text for r in before.values()], [r.lang for r in before.values()], LANGUAGE_SHARES)
+            _, rate, _ = brute_rates(list(before), [r.text for r in before.values()], [r.lang for r in before.values()], LANGUAGE_SHARES)
             assert abs(len(after) - rate.sum()) < 0.05 * len(before)
             assert {r.doc_id for r in after} == set(before)
         else:
