@@ -201,7 +201,12 @@ def nearest(ids, vectors, queries, k):
     return sorted(out)
 
 
-def test_top_k_query(spark):
+@pytest.mark.parametrize(("cost", "hot"), [(0, 100_000), (0, 7), (32, 100_000)])
+def test_top_k_query(spark, monkeypatch, cost, hot):
+    """By probes alone, with values dealt out in parts, and with the scan that the size of the table calls for."""
+    monkeypatch.setattr(hamming, "PROBE_COST", cost)
+    monkeypatch.setattr(hamming, "HOT_ROWS", hot)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", 7)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     found = sorted(map(tuple, op7_top_k(spark, SF).collect()))
     assert found == nearest(np.array([r[0] for r in rows]), [r[1] for r in rows], [r for r in rows if r[0] % 50 == 0], 10)
