@@ -12,13 +12,18 @@ nearest directory above them that has one.
 
 from __future__ import annotations
 
+import json
 import math
 import pkgutil
 import re
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakequill.llm.shared import looked_up, written
+
 #: Short notices by which the licences are named; fixed values.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
@@ -91,41 +96,97 @@ def full_vectors() -> tuple[dict[str, float], float, list[tuple[str, str, float]
     return idf, math.log(1 + len(texts)) + 1, rows
 
 
+class Scale:
+    """Template vectors as constants that an expression looks terms up in, each term in one step.
+
+    Terms are numbered by bucket of their checksum; ``weights`` has a row for each template.
+    """
+
+    BUCKETS = 4096
+
+    def __init__(self, vectors: tuple[dict[str, float], float, list[tuple[str, str, float]]]):
+        idf, unknown, rows = vectors
+        terms = sorted(idf)
+        self.templates = sorted({t for t, _, _ in rows})
+        place = {t: k for k, t in enumerate(terms)}
+        buckets: list[list[dict]] = [[] for _ in range(self.BUCKETS)]
+        for t, k in place.items():
+            buckets[zlib.crc32(t.encode()) % self.BUCKETS].append({"t": t, "k": k + 1})
+        weights = [[0.0] * len(terms) for _ in self.templates]
+        for name, t, w in rows:
+            weights[self.templates.index(name)][place[t]] = w
+        constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+        self._buckets = constant(buckets, "array<array<struct<t:string,k:int>>>")
+        # Place 0 of idf, as all that follow from 1: a term that no template has.
+        self._idf = constant([unknown, *(idf[t] for t in terms)], "array<double>")
+        self._weights = constant(weights, "array<array<double>>")
+
+    def weighed(self, counted: Column, tf: Callable[[Column], Column]) -> Column:
+        """array<struct<k, w>> from array<struct<term, n>>: the term's number (0: unknown) and its weight."""
+        bucket = lambda t: F.element_at(self._buckets, (F.crc32(t) % self.BUCKETS).cast("int") + 1)
+        number = lambda t: F.coalesce(F.get(F.filter(bucket(t), lambda x: x["t"] == t), F.lit(0))["k"], F.lit(0))
+        numbered = F.transform(counted, lambda c: F.struct(number(c["term"]).alias("k"), tf(c["n"]).alias("tf")))
+        return F.transform(numbered, lambda c: F.struct(c["k"].alias("k"), (c["tf"] * F.element_at(self._idf, c["k"] + 1)).alias("w")))
+
+    def best(self, weighed: Column, least: float) -> Column:
+        """struct<named, cosine, template> of the nearest template, a named licence before a reservation; null if none is near."""
+        norm = F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+        known = F.filter(weighed, lambda x: x["k"] > 0)
+
+        def hits(bound: Column) -> Column:
+            dot = lambda j: F.aggregate(bound["known"], F.lit(0.0), lambda acc, x: acc + x["w"] * F.element_at(F.element_at(self._weights, j + 1), x["k"]))
+            names = F.array(*map(F.lit, self.templates))
+            named = F.array(*(F.lit(not t.startswith("proprietary")) for t in self.templates))
+            scored = F.transform(F.sequence(F.lit(0), F.lit(len(self.templates) - 1)), lambda j: F.struct(F.element_at(named, j + 1).alias("named"), F.round(dot(j) / bound["norm"], 6).alias("cosine"), F.element_at(names, j + 1).alias("template")))
+            return F.array_max(F.filter(scored, lambda x: x["cosine"] >= least))
+
+        return F.when(F.size(weighed) > 0, _let(F.struct(norm.alias("norm"), known.alias("known")), hits))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
 
 
-def own_licenses(docs: DataFrame) -> DataFrame:
-    """(key, license, cosine, cover) for rows (key, text) that name a licence; ``cover`` is the share of words in lines, blocks or pieces that do, 1 for a licence text."""
-    spark = docs.sparkSession
-    (idf, unknown, rows), (full_idf, full_unknown, full_rows) = template_vectors(), full_vectors()
-    # Scopes: 0 lines, 1 blocks, both against notices; 2 whole texts, 3 pieces, both against full texts.
-    templates = spark.createDataFrame([(False, *r) for r in rows] + [(True, *r) for r in full_rows], "whole boolean, template string, term string, weight double")
-    frequencies = spark.createDataFrame([(False, *r) for r in idf.items()] + [(True, *r) for r in full_idf.items()], "whole boolean, term string, idf double")
-    cued = docs.filter(F.col("text").rlike(WRAPPED_CUE)).withColumn("n", _n_words(F.col("text")))
-    # Words and terms are made before anything is exploded: an expression beside explode() runs for each of its rows.
-    terms_in = lambda x: F.filter(F.split(F.lower(x), TERM), lambda t: t != "")
-    as_units = lambda texts, scope: F.transform(texts, lambda x, i: F.struct(F.lit(scope).alias("scope"), i.alias("at"), _n_words(x).alias("words"), terms_in(x).alias("terms")))
-    lines = as_units(F.filter(F.split("text", LINE), lambda x: x.rlike(CUE)), 0)
-    blocks = as_units(F.filter(F.split(F.regexp_replace("text", MARK, ""), BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), 1)
-    whole = as_units(F.array("text"), 2)
-    pieces = as_units(F.filter(F.split("text", BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), 3)
-    units = cued.select("key", "n", F.explode(F.concat(lines, blocks, whole, pieces)).alias("u")).select("key", "n", "u.*")
-    terms = units.select("key", "n", "scope", "at", "words", F.explode("terms").alias("term"))
-    unit = ["key", "n", "scope", "at", "words"]
-    counted = terms.groupBy(*unit, "term").agg(F.count("*").alias("tf")).withColumn("whole", F.col("scope") >= 2)
-    # Both tables of templates are parameters of this module, some thousand rows.
-    tf = F.when(F.col("whole"), 1 + F.log("tf")).otherwise(F.col("tf"))
-    weighed = counted.join(F.broadcast(frequencies), ["whole", "term"], "left").withColumn("w", tf * F.coalesce("idf", F.when(F.col("whole"), F.lit(full_unknown)).otherwise(F.lit(unknown))))
-    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(templates), ["whole", "term"]).groupBy("key", "scope", "at", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    least = F.when(F.col("scope") >= 2, F.lit(LEAST_WHOLE)).otherwise(F.lit(LEAST_COSINE))
-    scored = norms.join(dots, ["key", "scope", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= least)
-    named = ~F.col("template").startswith("proprietary")
-    best = scored.groupBy(*unit).agg(F.max(F.struct(named.alias("named"), F.col("cosine"), F.col("template"))).alias("hit"))
-    share = lambda scope: F.coalesce(F.sum(F.when(F.col("scope") == scope, F.col("words"))), F.lit(0)) / F.max("n")
-    found = best.groupBy("key").agg(F.max("hit").alias("hit"), F.greatest(*(share(k) for k in range(4))).alias("cover"))
-    return found.select("key", F.substring_index("hit.template", "#", 1).alias("license"), "hit.cosine", "cover")
+def _counted(text: Column) -> Column:
+    """array<struct<term, n>>: the distinct terms, in order, and how often each occurs."""
+
+    def runs(terms: Column) -> Column:
+        starts = F.filter(F.transform(terms, lambda t, i: F.when((i == 0) | (t != F.get(terms, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(terms, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(terms)) - i).alias("n"))))
+
+    return _let(F.array_sort(F.filter(F.split(F.lower(text), TERM), lambda t: t != "")), runs)
+
+
+def with_own(docs: DataFrame) -> DataFrame:
+    """``docs`` (with a column text) with own, cosine and cover: the licence that a row names, or nulls.
+
+    ``cover`` is the largest share of words in lines, in blocks or in pieces that do, 1 for
+    a licence text. All of it is worked out within the row.
+    """
+    notices, full = Scale(template_vectors()), Scale(full_vectors())
+    cued = F.col("text").rlike(WRAPPED_CUE)
+    near_notice = lambda x: notices.best(notices.weighed(_counted(x), lambda n: n.cast("double")), LEAST_COSINE)
+    near_full = lambda x: full.best(full.weighed(_counted(x), lambda n: 1 + F.log(n.cast("double"))), LEAST_WHOLE)
+    units = {
+        "lines": (F.filter(F.split("text", LINE), lambda x: x.rlike(CUE)), near_notice),
+        "blocks": (F.filter(F.split(F.regexp_replace("text", MARK, ""), BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), near_notice),
+        "whole": (F.array("text"), near_full),
+        "pieces": (F.filter(F.split("text", BLOCK), lambda x: x.contains("\n") & x.rlike(WRAPPED_CUE)), near_full),
+    }
+    staged = docs.withColumns({f"__{name}": F.when(cued, texts) for name, (texts, _) in units.items()})
+    hits = lambda texts, near: F.filter(F.transform(texts, lambda x: F.struct(_n_words(x).alias("words"), near(x).alias("hit"))), lambda u: u["hit"].isNotNull())
+    staged = staged.withColumns({f"__{name}": hits(F.col(f"__{name}"), near) for name, (_, near) in units.items()})
+    best = F.array_max(F.transform(F.concat(*(F.col(f"__{name}") for name in units)), lambda u: u["hit"]))
+    covered = lambda name: F.aggregate(F.col(f"__{name}"), F.lit(0), lambda acc, u: acc + u["words"])
+    staged = staged.withColumns({"__hit": best, "__covered": F.greatest(*map(covered, units))})
+    share = F.when(F.col("__hit").isNotNull(), F.col("__covered") / _n_words(F.col("text")))
+    staged = staged.withColumns({"own": F.substring_index("__hit.template", "#", 1), "cosine": F.col("__hit.cosine"), "cover": share})
+    return staged.drop("__hit", "__covered", *(f"__{name}" for name in units))
 
 
 def _parent(path: Column) -> Column:
@@ -147,15 +208,15 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
 
     ``license`` is the document's own, or that of the nearest licence file in its directory
     or above, or null. Null and empty texts have none of their own. A null path is the
-    root. Rows that repeat an id and path share their licences: the best counts. Other
-    columns are left out; texts are scanned whole.
+    root. Repeated rows are scanned alike. Other columns are left out; texts are scanned
+    whole.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    key = F.struct("doc_id", "path")
-    own = own_licenses(rows.select(key.alias("key"), "text")).select("key.doc_id", "key.path", "license", "cosine", "cover")
-    files = own.filter((F.col("cover") >= LEAST_SHARE) | F.col("path").rlike(FILE_NAME))
-    above = inherited_licenses(rows.select("path"), files).select("dir", F.col("license").alias("from_above"))
-    mine = own.select(F.col("doc_id").alias("k"), F.col("path").alias("q"), F.col("license").alias("own"), "cosine")
-    named = rows.select("doc_id", "path").join(mine, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("path") == F.col("q")), "left")
-    placed = named.withColumn("dir", _parent(F.col("path"))).join(above, "dir", "left")
+    own = with_own(rows).withColumn("dir", _parent(F.col("path"))).drop("text")
+    own = written(own.withColumn("file", F.coalesce(F.col("cover") >= LEAST_SHARE, F.lit(False)) | (F.col("own").isNotNull() & F.col("path").rlike(FILE_NAME))).drop("cover"), "own")
+    files = own.filter("file").select("path", F.col("own").alias("license"), "cosine")
+    many = own.groupBy("dir").agg(F.count("*").alias("many"))
+    above = inherited_licenses(own.select("path"), files).select("dir", F.col("license").alias("from_above"))
+    above = many.join(above, "dir", "left")  # each directory once, so that a hot one without licence is known too
+    placed = looked_up(own, above, ["dir"], "many")
     return placed.select("doc_id", F.coalesce("own", "from_above").alias("license"), "cosine", (F.col("own").isNull() & F.col("from_above").isNotNull()).alias("inherited"))
