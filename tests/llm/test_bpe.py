@@ -13,8 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lakequill.llm import bpe, counts, shared, tokenfile
+from lakequill.llm import bpe, counts, queries, shared, tokenfile
 
+SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXT = bpe.read_tokenizer(PATH)
 LIBRARY = Tokenizer.from_str(TEXT)
@@ -83,6 +84,34 @@ def test_round_trip_digests(docs):
     assert found == sorted(((k, len(v), sha(" ".join(map(str, v))), sha(LIBRARY.decode(v, skip_special_tokens=False))) for k, v in ids), key=repr)
 
 
+def test_words_with_one_hash(monkeypatch):
+    """If all words of a batch had one hash, each would be encoded for itself."""
+    encoder = bpe.BatchEncoder(CODEC)
+    monkeypatch.setattr(encoder, "_salt", np.zeros_like(encoder._salt))
+    texts = ["one two six ten one", "the cat", *ODD]
+    ids, many = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [library(t) for t in texts]
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_registered_queries_over_their_whole_table(spark):
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    ids = {i: library(t) for i, t in rows}
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, SF).collect()}
+    assert found == {i: (len(x), sha(" ".join(map(str, x))), sha(LIBRARY.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    start, wanted = 0, {}
+    for i, _ in rows:
+        x = np.array([*ids[i], 1], "<u4")
+        wanted[i] = (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op4_token_output(spark, SF).collect()} == wanted
+    found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op5_token_counts(spark, SF).collect()}
+    assert found == {i: (len(t.encode()), len(ids[i]), len(ids[i]) > 2048) for i, t in rows}
+
+
 def read_back(spark, path, **kw):
     return sorted(((r.start, r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in tokenfile.read_token_files(spark, path, **kw).collect()))
 
