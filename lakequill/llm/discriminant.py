@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,25 +80,32 @@ def _x(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
+#: Features enter the sums as whole numbers of this part, within so many units, by at most so many rows at once: 64 bits hold the products.
+PART, MOST, ROWS = 1 << 16, 1000, 1024
+
+
 def fit(labelled: DataFrame) -> Model:
-    """The model of rows (x, label 0/1): only sums by class reach the driver."""
+    """The model of rows (x, label 0/1): only sums by class reach the driver. They are sums of whole numbers, so the order of rows does not matter."""
     d = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: [0.0, np.zeros(d), np.zeros((d, d))] for k in (0, 1)}
+        sums = {k: [0, np.zeros(d, object), np.zeros((d, d), object)] for k in (0, 1)}
         for batch in batches:
-            x, y = _x(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            x, y = np.rint(np.clip(_x(batch.column(0)), -MOST, MOST) * PART).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)
             for k, s in sums.items():
                 rows = x[y == k]
                 s[0] += len(rows)
-                s[1] += rows.sum(0)
-                s[2] += rows.T @ rows
-        out = [(k, j, float(v)) for k, s in sums.items() for j, v in enumerate([s[0], *s[1], *s[2].ravel()])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], ["label", "slot", "total"])
+                for start in range(0, len(rows), ROWS):
+                    some = rows[start : start + ROWS]
+                    s[1] += some.sum(0).astype(object)
+                    s[2] += (some.T @ some).astype(object)
+        out = [(k, j, Decimal(int(v))) for k, s in sums.items() for j, v in enumerate([s[0], *s[1], *s[2].ravel()])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.decimal128(38, 0)))], ["label", "slot", "total"])
 
     totals = np.zeros((2, 1 + d + d * d))
-    for r in labelled.select("x", "label").mapInArrow(run, "label int, slot int, total double").groupBy("label", "slot").agg(F.sum("total").alias("total")).collect():
-        totals[r.label, r.slot] = r.total
+    units = np.array([1.0] + [PART] * d + [PART * PART] * (d * d))
+    for r in labelled.select("x", "label").mapInArrow(run, "label int, slot int, total decimal(38,0)").groupBy("label", "slot").agg(F.sum("total").alias("total")).collect():
+        totals[r.label, r.slot] = float(r.total) / units[r.slot]
     counts = totals[:, 0]
     if counts.min() < d + 2:  # too few of a class for a covariance: the share of label 1
         return Model(constant=float((counts[1] + 1) / (counts.sum() + 2)))
