@@ -135,11 +135,9 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    if doc_ids is not None:
-        wanted = F.lit(False)
-        for k in sorted(set(doc_ids)):
-            wanted = wanted | F.lit(k).between(F.col("first_id"), F.col("last_id"))
-        shards = shards.filter(wanted)
+    if doc_ids is not None:  # one constant, however many are asked for
+        asked = F.split(F.lit(",".join(map(str, sorted(set(doc_ids))))), ",").cast("array<long>") if doc_ids else F.array().cast("array<long>")
+        shards = shards.filter(F.exists(asked, lambda k: k.between(F.col("first_id"), F.col("last_id"))))
     placed = shards.join(parts, "part").select((F.col("before") + F.col("part_start")).alias("start"), "image")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,8 @@ def test_token_files(spark, docs, monkeypatch):
         start += len(ids)
     assert read_back(spark, path) == sorted(wanted, key=lambda r: r[0])
     assert read_back(spark, path, doc_ids=[7, 3, 555]) == [w for w in sorted(wanted, key=lambda r: r[0]) if w[1] in (3, 7)]
+    assert len(read_back(spark, path, doc_ids=list(range(-3000, 3000)))) == sum(w[1] is not None for w in wanted)
+    assert read_back(spark, path, doc_ids=[]) == []
     assert zlib.crc32(np.array(wanted[0][3], "<u4").tobytes()) == tokenfile.read_token_files(spark, path).filter("start = 0").selectExpr("crc32(ids) AS c").first().c
 
 
