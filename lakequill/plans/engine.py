@@ -29,8 +29,9 @@ def _plain(name: str) -> tuple[str, ...]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, registry: Registry | None = None, warehouse: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, registry: Registry | None = None, warehouse: str | None = None, strict: bool = False):
+        """``strict``: operands of types that no rule of coercion brings together are an error, where Spark would cast them."""
+        self.spark, self.strict = spark, strict
         self.registry = registry or Registry(spark)
         self._warehouse = warehouse or spark.conf.get("spark.sql.warehouse.dir")
         self._id = uuid.uuid4().hex[:8]
@@ -104,6 +105,8 @@ class Engine:
             for place in reversed(places):
                 sql = f"{sql[:place]} div {sql[place + 1 :]}"
             df = run(sql)
+        if self.strict:
+            semantics.check_coercions(df)
         return df
 
     def export(self, text: str, location: str, kind: str = "parquet", params: list[Any] | None = None, **options: str) -> None:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -18,6 +19,10 @@ CONFIG_TYPES: dict[str, T.DataType] = {
 SCHEMES = {"": "file", "file": "file", "s3": "s3a", "s3a": "s3a", "gs": "gs", "abfss": "abfss", "az": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
 
 
+#: Path -> (length and time of the file, its schema).
+_SCHEMAS: dict[str, tuple[tuple[int, int], T.StructType]] = {}
+
+
 class TableNotFound(LookupError):
     pass
 
@@ -119,7 +124,24 @@ class Registry:
 
     def _parquet(self, location: str, options: dict[str, str]) -> Table:
         path = storage_uri(location, self.azure_account)
-        return Table(lambda: self.spark.read.parquet(path), "parquet", {"location": path})
+        return Table(lambda: self._opened(path), "parquet", {"location": path})
+
+    def _opened(self, path: str) -> DataFrame:
+        """A Parquet table. The schema of one file is looked up once for as long as the file stays the same; a folder's each time."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            status = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+        except Py4JJavaError:  # a pattern, or nothing: Spark's reader knows
+            return self.spark.read.parquet(path)
+        if not status.isFile():
+            return self.spark.read.parquet(path)
+        version = (status.getLen(), status.getModificationTime())
+        known = _SCHEMAS.get(path)
+        if known is None or known[0] != version:
+            df = self.spark.read.parquet(path)
+            _SCHEMAS[path] = (version, df.schema)
+            return df
+        return self.spark.read.schema(known[1]).parquet(path)
 
     def _csv(self, location: str, options: dict[str, str]) -> Table:
         if not options.get("schema"):

@@ -8,6 +8,7 @@ import pytest
 
 from lakequill.plans import lexer
 from lakequill.plans.names import rename_tables
+from lakequill.plans.coercion import TypeMismatch
 from lakequill.plans.engine import Engine
 from lakequill.sources.registry import Registry, TableNotFound, storage_uri
 
@@ -185,6 +186,15 @@ def test_comments_and_readers_of_old_snapshots(engine):
     assert engine.sql("SELECT id FROM t").count() == 0
 
 
+def test_strict_coercion(engine, spark):
+    strict = Engine(spark, engine.registry, strict=True)
+    spark.createDataFrame([(1, "1", datetime.date(2020, 1, 1))], "i int, s string, d date").createOrReplaceTempView("lq_strict")
+    assert one(strict, "SELECT i + 1.5, i = cast(s AS int), d < '2021-01-01', i / 2, i IN (1, 2.0) FROM lq_strict")[1:4] == (True, True, 0)
+    for bad in ("SELECT i = s FROM lq_strict", "SELECT d = s FROM lq_strict", "SELECT i + s FROM lq_strict", "SELECT 1 FROM lq_strict WHERE EXISTS (SELECT 1 FROM users WHERE name = 5)"):
+        with pytest.raises(TypeMismatch):
+            strict.sql(bad)
+
+
 def test_export(engine, tmp_path):
     engine.export("SELECT id, name FROM users WHERE id > $1", f"{tmp_path}/out", "csv", [1])
     engine.registry.register_csv("back", f"{tmp_path}/out", "id int, name string")
