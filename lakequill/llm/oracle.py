@@ -15,14 +15,14 @@ def quality_rules() -> str:
     """Base counts, histograms, mean distributions of each language in two rounds, distances and verdicts."""
     forms = ", ".join(f"('{form}', {slot})" for form, slot in sorted(Q.SLOT.items()))
     classes = ", ".join(f"({k}, len(regexp_extract_all(t, '{_CHARS[c]}')))" for k, c in enumerate(Q.CLASSES))
-    other, langs = len(Q.VOCABULARY), ", ".join(f"'{x}'" for x in Q.LANGUAGES)
+    other = len(Q.VOCABULARY)
 
     def references(name: str, source: str) -> str:
         return f"""
     {name} AS (SELECT d.lang, s.kind, s.slot, sum(s.share) / any_value(n.many) AS ref FROM {source} d JOIN shares s ON s.id = d.id
         JOIN (SELECT lang, count(*) AS many FROM {source} GROUP BY lang) n ON n.lang = d.lang GROUP BY d.lang, s.kind, s.slot),
     {name}_pairs AS (SELECT d.id, r.lang, g.kind, g.slot, coalesce(s.share, 0.0) AS p, coalesce(f.ref, 0.0) AS q FROM docs d
-        JOIN (SELECT DISTINCT lang FROM {name}) r ON d.lang = r.lang OR d.lang IS NULL OR d.lang NOT IN (SELECT lang FROM {name})
+        JOIN (SELECT DISTINCT lang FROM {name}) r ON d.lang = r.lang OR d.lang IS NULL
         CROSS JOIN slots g LEFT JOIN shares s ON s.id = d.id AND s.kind = g.kind AND s.slot = g.slot
         LEFT JOIN {name} f ON f.lang = r.lang AND f.kind = g.kind AND f.slot = g.slot),
     {name}_far AS (SELECT id, lang, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS far FROM {name}_pairs GROUP BY id, lang, kind),
@@ -48,7 +48,8 @@ def quality_rules() -> str:
         UNION ALL SELECT h.id, 'w', h.slot, h.n / greatest(d.n_words, 1) FROM hits h JOIN docs d ON d.id = h.id
         UNION ALL SELECT d.id, 'w', {other}, (d.n_words - coalesce(k.n, 0)) / greatest(d.n_words, 1) FROM docs d LEFT JOIN (SELECT id, sum(n) AS n FROM hits GROUP BY id) k ON k.id = d.id),
     slots AS (SELECT 'c' AS kind, range AS slot FROM range({len(Q.CLASSES)}) UNION ALL SELECT 'w', range FROM range({other + 1})),
-    usable AS (SELECT * FROM docs WHERE n_chars >= {Q.CHARS_LEAST} AND n_words >= {Q.WORDS_LEAST} AND lang IN ({langs})),
+    long AS (SELECT * FROM docs WHERE n_chars >= {Q.CHARS_LEAST} AND n_words >= {Q.WORDS_LEAST}),
+    usable AS (SELECT * FROM long WHERE lang IN (SELECT lang FROM long GROUP BY lang HAVING count(*) >= {Q.LEAST_ROWS})),
     {references("one", "usable").strip()},
     within AS (SELECT u.* FROM usable u JOIN one_ok o ON o.id = u.id WHERE ok),
     {references("two", "within").strip()}

@@ -26,7 +26,8 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec mais on aux d son cette ou leur comme elle l nous être ont si même été".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue".split(),
 }
-LANGUAGES = tuple(COMMON_WORDS)
+#: A language of the table has a reference if so many of its rows are long enough; of more languages than MOST_LANGUAGES, those with most rows.
+LEAST_ROWS, MOST_LANGUAGES = 5, 256
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
 SLOT = {form: k for k, w in enumerate(VOCABULARY) for form in (w, w.capitalize())}
 #: Character classes; every code point outside ASCII is one class, white space is none.
@@ -117,48 +118,60 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def distances(batch: pa.RecordBatch, references: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both distances of each row to the reference of its language (to the nearest, if that has none), and both lengths."""
+    """Both distances of each row to the reference of its language, and both lengths. A row without language is held against the nearest; a language without reference has none (nan)."""
     p, w, n_chars, n_words = _distributions(batch)
     lang = np.array(batch.column("lang").to_pylist(), object)
     names = sorted(references)
     by_chars = np.stack([distance(p, references[k][0]) for k in names]) if names else np.zeros((1, len(p)))
     by_words = np.stack([distance(w, references[k][1]) for k in names]) if names else np.zeros((1, len(p)))
     nearest = (by_chars + by_words).argmin(0)
+    unknown = np.array([x is not None for x in lang], bool)
     for k, name in enumerate(names):
         nearest[lang == name] = k
+        unknown &= lang != name
     rows = np.arange(len(p))
-    return by_chars[nearest, rows], by_words[nearest, rows], n_chars, n_words
+    one, two = by_chars[nearest, rows], by_words[nearest, rows]
+    if names:
+        one[unknown], two[unknown] = np.nan, np.nan
+    return one, two, n_chars, n_words
 
 
 def verdict(by_chars, by_words, n_chars, n_words) -> np.ndarray:
-    """Whether both distances are within their bounds; texts under a least length pass."""
-    chars = (n_chars < CHARS_LEAST) | (by_chars <= CHARS_BASE + CHARS_SPREAD / np.sqrt(np.maximum(n_chars, 1)))
-    words = (n_words < WORDS_LEAST) | (by_words <= WORDS_BASE + WORDS_SPREAD / np.sqrt(np.maximum(n_words, 1)))
+    """Whether both distances are within their bounds; texts under a least length pass, and rows without distance."""
+    chars = (n_chars < CHARS_LEAST) | ~(by_chars > CHARS_BASE + CHARS_SPREAD / np.sqrt(np.maximum(n_chars, 1)))
+    words = (n_words < WORDS_LEAST) | ~(by_words > WORDS_BASE + WORDS_SPREAD / np.sqrt(np.maximum(n_words, 1)))
     return chars & words
 
 
-def _references(stats: DataFrame, within: dict[str, tuple[np.ndarray, np.ndarray]] | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _languages(stats: DataFrame) -> list[str]:
+    """The languages that get a reference."""
+    long = stats.filter((F.col("word_chars") >= CHARS_LEAST) & (F.col("n_words") >= WORDS_LEAST) & F.col("lang").isNotNull())
+    counted = long.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS)
+    return sorted(r.lang for r in counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+
+
+def _references(stats: DataFrame, within: dict[str, tuple[np.ndarray, np.ndarray]] | None, languages: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean distributions of each language over all documents that are long enough and, in the second round, within bounds."""
     width = len(CLASSES) + len(VOCABULARY) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, many = np.zeros((len(LANGUAGES), width)), np.zeros(len(LANGUAGES))
+        sums, many = np.zeros((len(languages), width)), np.zeros(len(languages))
         for batch in batches:
             p, w, n_chars, n_words = _distributions(batch)
             use = (n_chars >= CHARS_LEAST) & (n_words >= WORDS_LEAST)
             if within is not None:
                 use &= verdict(*distances(batch, within))
             lang = np.array(batch.column("lang").to_pylist(), object)
-            for k, name in enumerate(LANGUAGES):
+            for k, name in enumerate(languages):
                 rows = use & (lang == name)
                 sums[k] += np.column_stack([p, w])[rows].sum(0)
                 many[k] += rows.sum()
         # Sums are carried as whole numbers, so that their order does not matter.
         whole = np.round(sums * 1e9).astype(np.int64)
-        names = [(LANGUAGES[k], j, int(whole[k, j]), int(many[k])) for k in range(len(LANGUAGES)) for j in range(width) if many[k]]
+        names = [(languages[k], j, int(whole[k, j]), int(many[k])) for k in range(len(languages)) for j in range(width) if many[k]]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in names], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["lang", "slot", "total", "many"])
 
-    used = stats.select("lang", "n_words", "chars", "common").filter(F.col("lang").isin(*LANGUAGES))
+    used = stats.select("lang", "n_words", "chars", "common").filter(F.col("lang").isin(languages))
     summed = used.mapInArrow(run, "lang string, slot int, total long, many long").groupBy("lang", "slot").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("many").alias("many"))
     means: dict[str, np.ndarray] = {}
     for r in summed.collect():  # languages x slots numbers
@@ -173,7 +186,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     """The columns of quality_rules(), with lang and h, a hash of the text."""
     text = F.col(text_col).cast("string")
     stats = written(_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))), "statistics")
-    references = _references(stats, _references(stats, None))
+    languages = _languages(stats)
+    references = _references(stats, _references(stats, None, languages), languages) if languages else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +195,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
             failed = (n_words < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n_words)
             found = distances(batch, references)
             kept = ~failed & verdict(*found)
-            columns = [batch.column(c) for c in list(OUTPUT)[:6]] + [pa.array(failed), pa.array(kept), pa.array(found[0]), pa.array(found[1]), batch.column("lang"), batch.column("h")]
+            columns = [batch.column(c) for c in list(OUTPUT)[:6]] + [pa.array(failed), pa.array(kept), pa.array(found[0], from_pandas=True), pa.array(found[1], from_pandas=True), batch.column("lang"), batch.column("h")]
             yield pa.RecordBatch.from_arrays(columns, [*OUTPUT, "lang", "h"])
 
     return stats.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in OUTPUT.items()) + ", lang string, h long")
@@ -190,10 +204,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance) for every row.
 
-    Null and empty texts have no words and fail the base rules. Rows of a language
-    without reference, or without language, are held against the nearest reference; if
-    there is none (too few long texts), only the base rules count. Null ids and repeated
-    rows stay; other columns are left out.
+    Null and empty texts have no words and fail the base rules. Rows without language are
+    held against the nearest reference. For rows of a language without reference (too few
+    long texts), and if there is none at all, only the base rules count, and the distances
+    are null or 0. Null ids and repeated rows stay; other columns are left out.
     """
     return _judged(docs, id_col, text_col, lang_col).select(*OUTPUT)
 

@@ -54,6 +54,8 @@ def brute(rows):
     seen = [(i, lang, *histograms(t), *base(t)) for i, t, lang in rows]
 
     def distances(r, refs):
+        if r[1] is not None and r[1] not in refs:
+            return 0.0, 0.0
         chosen = refs[r[1]] if r[1] in refs else min((refs[k] for k in sorted(refs)), key=lambda f: jensen_shannon(r[2], f[0]) + jensen_shannon(r[3], f[1]))
         return jensen_shannon(r[2], chosen[0]), jensen_shannon(r[3], chosen[1])
 
@@ -62,8 +64,9 @@ def brute(rows):
         return (r[4] < quality.CHARS_LEAST or c <= quality.CHARS_BASE + quality.CHARS_SPREAD / math.sqrt(r[4])) and (r[5] < quality.WORDS_LEAST or w <= quality.WORDS_BASE + quality.WORDS_SPREAD / math.sqrt(r[5]))
 
     refs = None
+    long = Counter(r[1] for r in seen if r[4] >= quality.CHARS_LEAST and r[5] >= quality.WORDS_LEAST)
     for _ in range(2):
-        used = [r for r in seen if r[4] >= quality.CHARS_LEAST and r[5] >= quality.WORDS_LEAST and r[1] in quality.LANGUAGES and (refs is None or within(r, refs))]
+        used = [r for r in seen if r[4] >= quality.CHARS_LEAST and r[5] >= quality.WORDS_LEAST and r[1] is not None and long[r[1]] >= quality.LEAST_ROWS and (refs is None or within(r, refs))]
         refs = {k: tuple(np.mean([r[j] for r in used if r[1] == k], axis=0) for j in (2, 3)) for k in {r[1] for r in used}}
     out = {}
     for r in seen:
@@ -86,6 +89,18 @@ def test_clean_is_kept_and_junk_goes(spark):
     assert np.mean(kept[1]) > 0.99 and np.mean(kept[0]) < 0.3
 
 
+def test_every_language_of_the_table_has_its_own_reference(spark):
+    rnd = np.random.default_rng(6)
+    foreign = ["".join(rnd.choice(list("абвгдежзиклмнопрст"), rnd.integers(2, 9))) for _ in range(300)]
+    english = "the of and to in that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which".split()
+    rows = [(k, " ".join(rnd.choice(foreign, 150)), "ru") for k in range(8)] + [(100 + k, " ".join(rnd.choice(english, 150)), "en") for k in range(8)]
+    rows += [(200, " ".join(rnd.choice(foreign, 150)), "en"), (201, " ".join(rnd.choice(foreign, 150)), "xx"), (202, " ".join(rnd.choice(foreign, 150)), None)]
+    found = {r.doc_id: (r.kept, r.chars_distance) for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[k][0] for k in [*range(8), *range(100, 108), 201, 202]) and not found[200][0]
+    assert found[201][1] is None and found[202][1] < 0.2
+    assert {k: v[0] for k, v in found.items()} == {k: v[-1] for k, v in brute(rows).items()}
+
+
 def test_rules_at_the_edges(spark):
     rows = [(1, None, "en"), (2, "", None), (3, "\n\n a\n a\nb", "xx"), (4, "w " * 49, "en"), (5, " ".join(f"w{i}" for i in range(50)), None), (6, "#*$%&|<> a\n" * 60, "de"), (None, "a b c a b c d", "en"), (7, "x" * 200_000, "en"), (5, " ".join(f"w{i}" for i in range(50)), None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, n_words int")
