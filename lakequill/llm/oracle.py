@@ -135,6 +135,22 @@ def secrets() -> str:
     FROM docs LEFT JOIN b ON b.id = docs.id LEFT JOIN a ON a.id = docs.id"""
 
 
+def ngram_jaccard(percent: int = 90) -> str:
+    """All pairs of rows that share a shingle, their links, and what links reach."""
+    return f"""
+    WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+    sets AS (SELECT r, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM docs),
+    sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+    pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+    linked AS (SELECT x, y FROM pairs JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+    edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+    reach(r, other) AS (SELECT r, r FROM docs UNION SELECT reach.r, y FROM reach JOIN edges ON x = other),
+    components AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON d.r = other GROUP BY reach.r),
+    counts AS (SELECT x AS r, count(*) AS n_links FROM edges GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+    FROM docs JOIN components USING (r) LEFT JOIN sizes USING (r) LEFT JOIN counts USING (r)"""
+
+
 def top_k(k: int = 10, dimensions: int = 64) -> str:
     """All distances of every asked code to every code."""
     return f"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": oracle.secrets(), "op6_licenses": oracle.licenses(), "op7_top_k": oracle.top_k(), "op10_quality_rules": oracle.quality_rules()}
+    return {"op2_ngram_jaccard": oracle.ngram_jaccard(), "op3_secrets": oracle.secrets(), "op6_licenses": oracle.licenses(), "op7_top_k": oracle.top_k(), "op10_quality_rules": oracle.quality_rules()}
