@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import io
 
 import pytest
 
+from lakequill.__main__ import main
 from lakequill.plans import lexer
 from lakequill.plans.names import rename_tables
 from lakequill.plans.coercion import TypeMismatch
@@ -239,6 +241,21 @@ def test_config(spark, tmp_path):
     assert rows(r.resolve("lake.best.e").load()) == [(1, datetime.date(2020, 1, 1))]
 
 
+def test_command_line(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    (tmp_path / "c.toml").write_text(f'catalog = "lake"\nschema = "raw"\n[[tables]]\nname = "t"\nformat = "parquet"\npath = "{tmp_path}/p"\n')
+    out = io.StringIO()
+    main(["--config", f"{tmp_path}/c.toml", "SELECT id, name FROM lake.raw.t ORDER BY id"], spark, out)
+    assert out.getvalue() == "id,name\n1,a\n2,\n"
+    monkeypatch.setenv("LAKEQUILL_SCHEMA", "env")
+    for argv, wanted in ((["--schema", "cli"], "cli"), ([], "env")):
+        out = io.StringIO()
+        main([*argv, "--table", f"u=parquet:{tmp_path}/p", "SELECT current_schema() AS s, count(*) AS n FROM u"], spark, out)
+        assert out.getvalue() == f"s,n\n{wanted},2\n"
+    main(["--table", f"u=parquet:{tmp_path}/p", "--output", f"{tmp_path}/o", "--format", "csv", "SELECT id FROM u"], spark)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/o").count() == 2
+
+
 def test_storage_uris():
     assert storage_uri("s3://b/k") == "s3a://b/k" and storage_uri("az://c/x", "acc") == "abfss://c@acc.dfs.core.windows.net/x" and storage_uri("az://c@a.host/x") == "abfss://c@a.host/x" and storage_uri("/tmp/x") == "/tmp/x"
     for bad in ("ftp://x/y", "az://c/x"):
