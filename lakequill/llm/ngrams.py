@@ -23,7 +23,6 @@ set are one class; all that follows is on classes. The product is taken twice, i
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.bpe import Memo
 from lakequill.llm.components import components
 from lakequill.llm.shared import forget, looked_up, met_often, written
 
@@ -55,25 +53,95 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 class Shingler:
-    """Sets of ``k``-word shingles as sorted 63-bit hashes."""
+    """Sets of ``k``-word shingles as sorted 63-bit hashes.
+
+    Words are hashed where they lie in a column's bytes, by tables of random numbers for
+    each byte at each place of a word; words longer than the tables one by one.
+    """
+
+    PLACES = 64
+    #: Bytes that are worked on at once, so that the numbers made of them stay few.
+    PIECE = 1 << 20
 
     def __init__(self, k: int):
         self._k = k
-        self._find = re.compile(WORD).findall
-        self._hash = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+        self._salt = np.random.default_rng(20).integers(0, 1 << 64, self.PLACES << 8, np.uint64)
+        self._lower = np.arange(256, dtype=np.uint8)
+        self._lower[65:91] += 32
+        self._white = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = self._find((text or "").encode().lower().decode())  # bytes: A-Z only
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self._hash.__getitem__, words), np.uint64, len(words))
-        k = min(self._k, len(words))
+        return next(self.sets(pa.array([text], pa.string())))
+
+    def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text of a column; that of a null is empty."""
+        column = column.cast(pa.large_string()).fill_null("")
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + self.PIECE, "right")) - 1)
+            bounds = offsets[first : last + 1]
+            if bounds[-1] - bounds[0] <= self.PIECE:
+                words, hashes = self._words(data[bounds[0] : bounds[-1]], bounds[:-1] - bounds[0])
+                cuts = np.searchsorted(words, bounds - bounds[0])
+            else:  # one long text
+                hashes = self._long(data[bounds[0] : bounds[-1]])
+                cuts = np.array([0, len(hashes)])
+            together = self._joined(hashes, self._k) if len(hashes) >= self._k else hashes[:0]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                found = np.sort(together[a : b - self._k + 1] if b - a >= self._k else self._joined(hashes[a:b], b - a))
+                yield found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+            first = last
+
+    def _words(self, data: np.ndarray, opens_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start in ``data``, which is cut at ``opens_text``, and their hashes."""
+        white = self._white[data]
+        begins = np.empty(len(data), bool)
+        begins[1:] = white[:-1]
+        begins[opens_text[opens_text < len(data)]] = True
+        inside = np.nonzero(~white)[0]
+        opens = np.nonzero(begins[inside])[0]
+        if not len(opens):
+            return inside[:0], np.zeros(0, np.uint64)
+        lengths = np.diff(np.append(opens, len(inside)))
+        spot = np.arange(len(inside)) - np.repeat(opens, lengths)
+        spot &= self.PLACES - 1
+        spot <<= 8
+        letters = self._lower[data[inside]]
+        spot |= letters
+        hashes = np.add.reduceat(self._salt.take(spot), opens) ^ (lengths.astype(np.uint64) * _MIX[0])
+        for w in np.nonzero(lengths > self.PLACES)[0].tolist():
+            hashes[w] = xxhash.xxh3_64_intdigest(letters[opens[w] : opens[w] + lengths[w]].tobytes())
+        return inside[opens], hashes
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of the words of one long text, which is cut at white space."""
+        found, at = [], 0
+        while at < len(data):
+            end = min(at + self.PIECE, len(data))
+            while end < len(data):  # on to the next white space; a piece as long as that holds one in all likelihood
+                ahead = np.nonzero(self._white[data[end : end + self.PIECE]])[0]
+                if len(ahead):
+                    end += int(ahead[0])
+                    break
+                end = min(end + self.PIECE, len(data))
+            found.append(self._words(data[at:end], np.zeros(1, np.int64))[1])
+            at = end
+        return np.concatenate(found)
+
+    @staticmethod
+    def _joined(h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all runs of ``k`` words."""
+        if not k:
+            return h[:0]
         total = np.full(len(h) - k + 1, k, np.uint64)
         for j in range(k):
             total = (total ^ (total >> np.uint64(29))) * _MIX[3] + h[j : len(h) - k + 1 + j] * (_MIX[j % 3] + np.uint64(2 * j))
         total = (total ^ (total >> np.uint64(32))) * _MIX[3]
         total ^= total >> np.uint64(29)
-        return np.unique(total & LOW63)
+        return total & LOW63
 
 
 def digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -119,8 +187,7 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             sizes, his, los, signs = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingler(text)
+            for s in shingler.sets(batch.column(2)):
                 sizes.append(len(s))
                 if not len(s):
                     his.append(None)
@@ -165,8 +232,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
         levels = shared.value
         for batch in batches:
             tokens, ranks, his, los, sizes, many = [], [], [], [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingler(text)
+            for s in shingler.sets(batch.column(0)):
                 if len(s) < least:
                     continue
                 key = digest(s)
@@ -367,7 +433,7 @@ def _units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
-    """The product of the incidence matrix of the sets ``a`` with that of ``b`` (None: of ``a``), accumulated over blocks of columns."""
+    """The product of the incidence matrix of the sets ``a`` with that of ``b`` (None: of ``a``), accumulated over blocks of columns; what a set has alone is left out, so the diagonal says nothing."""
     sets = a if b is None else a + b
     flat = np.concatenate([np.zeros(0, np.uint64), *sets])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -446,7 +512,7 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, perce
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for batch in batches:
-            sets = [shingler(text) for text in batch.column("text").to_pylist()]
+            sets = list(shingler.sets(batch.column("text")))
             keep = [digest(s) == (hi, lo) for s, hi, lo in zip(sets, batch.column("hi").to_pylist(), batch.column("lo").to_pylist())]  # else another text with this id
             yield _batch([*(batch.column(c) for c in names[:5]), [s.tobytes() for s in sets]], kinds, names).filter(pa.array(keep, pa.bool_()))
 
