@@ -23,19 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return found.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges, each from a larger to a smaller node, are stars: no node hangs twice, or hangs and is hung on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or (below > 0 and above > 0)")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the least node that edges reach from each node; nodes without edges are left out.
 
     Ids are long. Each step is written to the shared folder, so lineage stays short; the
-    steps end when the edges are stars, which is known from a count and a sum of hashes.
+    steps end when the edges are stars.
     """
-    now = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct()
-    now = written(now, "edges")
-    seen = None
-    while True:
+    ends = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
+    now = written(ends.filter("u <> v").distinct(), "edges")
+    while not _settled(now):
         now = written(_star(_star(now, True), False), "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
