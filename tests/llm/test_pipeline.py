@@ -46,7 +46,7 @@ def test_stages(spark, tmp_path):
             assert sorted(r.doc_id for r in after) == sorted(k for k, v in rules.items() if v[-1])
         elif name == "near duplicates":
             groups = brute_components([(r.doc_id, r.text) for r in before.values()])
-            assert sorted(r.doc_id for r in after) == sorted(i for i, _, c in groups if i == c)
+            assert sorted(r.doc_id for r in after) == sorted(i for i, _, c, _ in groups if i == c)
         elif name == "secret scan":
             assert {r.doc_id: r.text for r in after} == {k: redacted(r.text) for k, r in before.items()}
             assert not any(re.search("[0-9a-f]{16,}", r.text) for r in after)
