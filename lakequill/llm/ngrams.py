@@ -4,12 +4,17 @@ Documents by distinct word shingles are the rows and columns of a sparse 0/1 mat
 the overlaps of all pairs are its product with its transpose. Documents with one shingle
 set are one class; all that follows is on classes. The product is taken twice, in blocks:
 
-1. Over the columns in which a pair that links must meet. Shingles are in one global
-   order, by how often blocks of documents hold them, then by hash. Sizes bound the
-   overlap of a linked pair from below, so it must share ``MEET`` shingles among the first
-   ``n - ceil(t n) + MEET`` of either set. Counts of these are accumulated for all pairs of
+1. Over columns in which a pair that links must meet. From ``PARTS_FROM`` percent on, a
+   column is a whole part of a set: hashes deal the shingles of all sets of about one size
+   out to more parts than linked sets of that size have shingles that differ, so that some
+   part of both is the same (``parts``). Unlike texts share shingles by chance, in numbers
+   that grow with the square of the input, but not the several shingles of a part.
+   At lower percentages parts would be too small, and a column is a shingle. These are in
+   one global order, by how often blocks of documents hold them, then by hash. Sizes bound
+   the overlap of a linked pair from below, so it must share ``MEET`` shingles among the
+   first ``n - ceil(t n) + MEET`` of either set. Columns are counted for all pairs of
    a column that is low; in a high column every class is paired with two pivots (the first
-   class, and the one that shares most of its prefix), and then the classes that these
+   class, and the one that is in most high columns), and then the classes that these
    pairs leave in different groups meet in blocks of rows. Sizes, counts and 512 parity
    bits of each set, which bound the symmetric difference from below, discard pairs.
    What remains joins classes into candidate groups; every linked pair is within one.
@@ -23,7 +28,10 @@ set are one class; all that follows is on classes. The product is taken twice, i
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +43,16 @@ from lakequill.llm.components import components
 from lakequill.llm.shared import forget, looked_up, met_often, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: The least percentage at which classes meet in parts of their sets.
+PARTS_FROM = 90
+#: The largest size of a band over its least; a class leaves out one small part in so many that differ at most.
+BAND, SPARED = 1.3, 24
 #: Prefix columns that a linked pair must share, or as many as its overlap, if that is less.
 MEET = 3
-#: Shingles seen so often in one block of so many shingles raise the level of their bucket.
-#: Levels decide the order of shingles, so how much work there is, never the result.
+#: Columns seen so often in one block of so many columns raise the level of their bucket.
+#: Levels decide the order of shingles and what is dealt out with salt, so how much work there is, never the result.
 OFTEN, BLOCK_SHINGLES, BUCKETS = 4, 3_000_000, 1 << 22
-#: Columns of more classes are high. Shingles of this level (a binary logarithm) are high beforehand and dealt out with salt.
+#: Columns of more classes are high. Those of this level (a binary logarithm) are high beforehand and dealt out with salt.
 HIGH, HIGH_LEVEL, SALTS = 64, 12, 1024
 #: Rows of a block of the first product; classes and shingles of a block of the second.
 BLOCK_ROWS, BLOCK_CLASSES, BLOCK_SET = 1024, 2048, 2_000_000
@@ -164,12 +176,55 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + MEET)
 
 
+@cache
+def bands(percent: int) -> tuple[int, ...]:
+    """The least size of each band, rising: sets that link are in one band or in neighbouring ones."""
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(max(found[-1] * 100 // percent + 1, math.ceil(BAND * found[-1])))
+    return tuple(found)
+
+
+def parts(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the parts of a set: two sets that link have one in common.
+
+    Linked sets of which the larger is in band b differ in ``apart`` shingles at most. They
+    are cut into ``apart + 1 + 2 * spared`` parts by one hash for band b, so that
+    ``1 + 2 * spared`` are the same or more; of these either set leaves out ``spared`` at
+    most, which are empty or single shingles, so one is left. A set is cut for its own band,
+    and for the next if it may link with sets of that.
+    """
+    least, found = bands(percent), []
+    band = bisect_right(least, len(shingles)) - 1
+    for b in range(band, band + 1 + (len(shingles) * 100 // percent >= least[band + 1])):
+        apart = 2 * (least[b + 1] - 1) * (100 - percent) // (100 + percent)
+        spared = apart // SPARED
+        many = apart + 1 + 2 * spared
+        part = ((shingles * _MIX[0]) >> np.uint64(20)) % np.uint64(many)
+        heights = np.bincount(part.astype(np.int64), minlength=many)
+        mixed = (shingles ^ (shingles >> np.uint64(31))) * _MIX[1]
+        sums = np.append(np.uint64(0), np.cumsum((mixed ^ (mixed >> np.uint64(30)))[np.argsort(part, kind="stable")], dtype=np.uint64))
+        ends = np.cumsum(heights)
+        place = np.arange(b << 32, (b << 32) + many, dtype=np.uint64) * _MIX[2]
+        keys = (sums[ends] - sums[ends - heights] + (place ^ (place >> np.uint64(32)))) * _MIX[3]
+        keys = (keys ^ (keys >> np.uint64(29))) & LOW63
+        small = (heights < 2).nonzero()[0]
+        found.append(np.delete(keys, small[np.argsort(heights[small], kind="stable")][:spared]))
+    return np.concatenate(found)
+
+
 def _batch(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: kind 0 (doc_id, h, n, hi, lo, signature) for each document, kind 1 (hi = bucket, n = count) for frequent shingles."""
+def _least_linked(percent: int) -> int:
+    """The size from which a set may link to others than its equals."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
+def _classes_and_counts(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows of two kinds: kind 0 (doc_id, h, n, hi, lo, signature) for each document, kind 1 (hi = bucket, n = count) for frequent columns."""
+    least = _least_linked(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(k), set()
@@ -198,10 +253,10 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
                 signs.append(signature(s))
                 his.append(key[0])
                 los.append(key[1])
-                if key not in seen:
+                if len(s) >= least and key not in seen:
                     seen.add(key)
-                    block.append(s)
-                    held += len(s)
+                    block.append(parts(s, percent) if percent >= PARTS_FROM else s)
+                    held += len(block[-1])
                     if held >= BLOCK_SHINGLES:
                         yield frequent()
                         block, held, seen = [], 0, set()
@@ -213,7 +268,7 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
-    """The level of each bucket of shingles, a byte; the table of the raised ones has BUCKETS rows at most."""
+    """The level of each bucket of columns, a byte; the table of the raised ones has BUCKETS rows at most."""
     level = F.floor(F.log2(F.sum("n"))).cast("int")
     raised = counted.groupBy(F.col("hi").cast("int").alias("bucket")).agg(level.alias("level")).toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
@@ -221,9 +276,9 @@ def _levels(counted: DataFrame) -> np.ndarray:
     return levels
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(place, high, token, hi, lo, n): the prefix of each class, once for each task that meets the class."""
-    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link to their equals only
+def _columns(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """(place, high, token, hi, lo, n): the columns of each class, parts or a prefix, once for each task that meets the class."""
+    least = _least_linked(percent)
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names, kinds = ["place", "high", "token", "hi", "lo", "n"], [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.int32()]
 
@@ -239,15 +294,17 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                 if key in seen:
                     continue
                 seen.add(key)
-                p = prefix_length(len(s), percent)
-                level = levels[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = np.argsort(level, kind="stable")[:p]
-                tokens.append(s[first])
-                ranks.append(level[first])
+                found = parts(s, percent) if percent >= PARTS_FROM else s
+                level = levels[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                if percent < PARTS_FROM:
+                    first = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]
+                    found, level = found[first], level[first]
+                tokens.append(found)
+                ranks.append(level)
                 his.append(key[0])
                 los.append(key[1])
                 sizes.append(len(s))
-                many.append(p)
+                many.append(len(found))
             flat = np.concatenate([np.zeros(0, np.uint64), *tokens]).astype(np.int64)
             high = np.concatenate([np.zeros(0, np.uint8), *ranks]) >= HIGH_LEVEL
             his, los, sizes = (np.repeat(np.array(x, np.int64), np.array(many, np.int64)) for x in (his, los, sizes))
@@ -267,7 +324,7 @@ def _column_pairs(token: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tu
         apart += 1
 
 
-def _met(prefixes: DataFrame, percent: int) -> DataFrame:
+def _met(columns: DataFrame, percent: int) -> DataFrame:
     """The first product, column by column: rows (token, hi, lo, n) of high columns, and with a null token the pairs of low ones."""
     names = ["token", "hi", "lo", "n", "hi2", "lo2", "n2"]
     kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()]
@@ -328,7 +385,7 @@ def _met(prefixes: DataFrame, percent: int) -> DataFrame:
             held = held or [pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32())], ["place", "high", "token", "hi", "lo", "n"])]
             yield from process(True)
 
-    dealt = prefixes.repartition("place").sortWithinPartitions("token", "hi", "lo")
+    dealt = columns.repartition("place").sortWithinPartitions("token", "hi", "lo")
     return dealt.mapInArrow(run, "token long, hi long, lo long, n int, hi2 long, lo2 long, n2 int")
 
 
@@ -348,7 +405,7 @@ def _candidates(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     pair = ["hi", "lo", "n", "hi2", "lo2", "n2"]
     low = met.filter("token is null").select(*pair)
     high = met.filter("token is not null").select("token", "hi", "lo", "n")
-    # Of near copies, those with the fewest changes share most of their prefix: they are the best pivots.
+    # Of near copies, those with the fewest changes share most of their columns: they are the best pivots.
     central = high.groupBy("hi", "lo", "n").agg(F.count("*").alias("met"))
     central = central.select("hi", "lo", F.expr(f"cast(1000 * met / (n - ceil({percent} * n / 100) + {MEET}) as int)").alias("central"))
     marked = high.join(central, ["hi", "lo"])
@@ -359,7 +416,8 @@ def _candidates(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     ordered = "hi < hi2 or (hi = hi2 and lo < lo2)"
     stars = stars.selectExpr(*(f"if({ordered}, {a}, {b}) AS {a}" for a, b in zip(pair, pair[3:] + pair[:3])))
     counted = low.union(stars).groupBy(*pair).agg(F.count("*").alias("shared"))
-    pairs = written(counted.filter(f"shared >= least({MEET}, ceil({percent} * greatest(n, n2) / 100))").drop("shared"), "pairs")
+    meet = 1 if percent >= PARTS_FROM else MEET
+    pairs = written(counted.filter(f"shared >= least({meet}, ceil({percent} * greatest(n, n2) / 100))").drop("shared"), "pairs")
     mine = classes.select("hi", "lo", F.col("node").alias("u"), *SIGNATURE)
     theirs = classes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("node").alias("v"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(len(SIGNATURE))))
     one = written(met_often(pairs, mine, ["hi", "lo"]).drop("hi", "lo"), "pairs-1")
@@ -532,7 +590,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     """Rows (doc_id, h, n, hi, lo), n = 0 without shingles, and classes (hi, lo, node, copies, n_links, component, of), where of = (no, id, h) is the class's first row."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
-    first = written(_classes_and_counts(docs, k), "classes")
+    first = written(_classes_and_counts(docs, k, percent), "classes")
     rows = first.filter("kind = 0").select("doc_id", "h", "n", "hi", "lo", *SIGNATURE)
     levels = _levels(first.filter("kind = 1"))
     same = (F.max(c).alias(c) for c in ("n", *SIGNATURE))  # equal in all rows of a class
@@ -540,7 +598,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     reps = rows.filter("n > 0").groupBy("hi", "lo").agg(F.count("*").alias("copies"), of, *same)
     reps = written(reps.withColumns({"node": F.monotonically_increasing_id(), "doc_id": F.col("of.id"), "h": F.col("of.h")}), "reps")
 
-    met = written(_met(_prefixes(docs, k, percent, levels), percent), "met")
+    met = written(_met(_columns(docs, k, percent, levels), percent), "met")
     edges = _candidates(met, reps, percent)
     groups = components(edges, "u", "v")
     across = _across(met, reps, groups, percent)

@@ -13,6 +13,7 @@ import pytest
 from lakequill.llm import ngrams
 from lakequill.llm.components import components
 from lakequill.llm.queries import op2_ngram_jaccard
+from lakequill.llm.shared import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -177,6 +178,42 @@ def test_signature_bounds_the_difference():
         assert bits <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("percent", [90, 93, 99])
+def test_linked_sets_have_a_part_in_common(monkeypatch, percent):
+    monkeypatch.setattr(ngrams, "SPARED", 3)  # so that small parts are left out of small sets as well
+    rnd = np.random.default_rng(percent)
+    linked = 0
+    for size in [*range(9, 60), *rnd.integers(60, 900, 60).tolist()]:
+        for _ in range(6):
+            a = np.unique(rnd.integers(0, 1 << 63, size, np.uint64))
+            gone = int(rnd.integers(0, size * (100 - percent) // 90 + 1))
+            new = int(rnd.integers(0, size * (100 - percent) // 90 + 1))
+            b = np.unique(np.concatenate([rnd.permutation(a)[gone:], rnd.integers(0, 1 << 63, new, np.uint64)]))
+            same = len(np.intersect1d(a, b))
+            if 100 * same >= percent * (len(a) + len(b) - same):
+                linked += 1
+                assert len(np.intersect1d(ngrams.parts(a, percent), ngrams.parts(b, percent)))
+    assert linked > 100
+
+
+def test_unlike_texts_with_common_shingles_do_not_meet(spark, monkeypatch):
+    """Texts of few frequent words share shingles by chance; the pairs that are stored must not grow with their square."""
+    stored = {}
+
+    def noted(df, name, **options):
+        found = written(df, name, **options)
+        stored[name] = found.count()
+        return found
+
+    monkeypatch.setattr(ngrams, "written", noted)
+    rnd = random.Random(5)
+    rows = [" ".join(rnd.choices([f"w{i}" for i in range(40)], k=150)) for _ in range(300)]
+    rows = list(enumerate([*rows, *(r + " end" for r in rows[:20])]))
+    found = result(ngrams.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert found == brute(rows)
+    assert stored["met"] < 2 * len(rows) and stored["pairs"] < len(rows)
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2100)]
