@@ -545,12 +545,14 @@ def _bit_filter(ids: DataFrame) -> DataFrame:
     return ids.select(h.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
 
 
-def _passing(docs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The documents that may be in the filter."""
-    h = F.pmod(F.xxhash64("doc_id", "h"), F.lit(FILTER_BITS)) + 1
-    probed = docs.withColumns({"bucket": F.bitmap_bucket_number(h), "bit": F.bitmap_bit_position(h)}).join(F.broadcast(bits), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return probed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("doc_id", "h", "text")
+def _probed(docs: DataFrame, bits: DataFrame, id_col: str, h_col: str) -> DataFrame:
+    """``docs`` with ``__inside``: whether a row may be in the filter."""
+    h = F.pmod(F.xxhash64(id_col, h_col), F.lit(FILTER_BITS)) + 1
+    bits = F.broadcast(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))
+    probed = docs.withColumns({"__bucket": F.bitmap_bucket_number(h), "__bit": F.bitmap_bit_position(h)}).join(bits, "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    inside = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0, F.lit(False))
+    return probed.withColumn("__inside", inside).drop("__bucket", "__bits", "__bit")
 
 
 def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
@@ -562,7 +564,7 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, perce
     members = written(members.withColumnsRenamed({"doc_id": "rep", "h": "rep_h"}), "blocks")
     needed = members.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"))
     # One text of repeated rows; the first step of this is within each task.
-    texts = _passing(docs, _bit_filter(needed)).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    texts = _probed(docs, _bit_filter(needed), "doc_id", "h").filter("__inside").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     joined = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
     joined = joined.select("node", "copies", "component", "at", "blocks", "hi", "lo", "text")
     names, kinds = ["node", "copies", "component", "at", "blocks", "shingles"], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
@@ -637,12 +639,17 @@ def deduplicated(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     in both and differ elsewhere one stays.
     """
     rows, classes = _joined(_keyed(docs, id_col, text_col), k, percent)
-    kept = classes.groupBy("component").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__kept_id"), F.col("of.h").alias("__kept_h"))
+    kept = classes.groupBy("component").agg(F.min("of").alias("of")).select(F.col("of.id").alias("__kept_id"), F.col("of.h").alias("__kept_h"), F.lit(True).alias("kept"))
+    counted = rows.filter("n > 0").groupBy("doc_id", "h").agg(F.count("*").alias("many"))
+    counted = counted.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("h") == F.col("__kept_h")), "left")
+    # All rows but those that go or are repeated stay where they are; only the others, and a few that the filter mistakes for them, are dealt out.
+    odd = written(counted.filter("many > 1 or kept is null").select(F.col("doc_id").alias("__odd_id"), F.col("h").alias("__odd_h"), F.expr("kept is not null").alias("__kept")), "odd")
     key = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_h": F.xxhash64(F.col(text_col).cast("string"))})
     worded = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD)
-    single = key.filter(worded).dropDuplicates(["__row_id", "__row_h"])
-    found = single.join(kept, F.col("__row_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row_h") == F.col("__kept_h")), "left_semi")
-    return found.select(*docs.columns).union(docs.filter(~worded))
+    probed = _probed(key, _bit_filter(odd.select(F.col("__odd_id").alias("doc_id"), F.col("__odd_h").alias("h"))), "__row_id", "__row_h").withColumn("__asked", worded & F.col("__inside"))
+    asked = probed.filter("__asked").join(odd, F.col("__row_id").eqNullSafe(F.col("__odd_id")) & (F.col("__row_h") == F.col("__odd_h")), "left")
+    asked = asked.filter("coalesce(__kept, true)").dropDuplicates(["__row_id", "__row_h"])
+    return probed.filter("not __asked").select(*docs.columns).union(asked.select(*docs.columns))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -214,6 +214,19 @@ def test_unlike_texts_with_common_shingles_do_not_meet(spark, monkeypatch):
     assert stored["met"] < 2 * len(rows) and stored["pairs"] < len(rows)
 
 
+def test_deduplicated_leaves_rows_where_they_are(spark):
+    """Rows that stay are not dealt out, so they keep their order; of repeated and linked rows one stays."""
+    rnd = random.Random(8)
+    unlike = [(i, " ".join(rnd.choices([f"w{i}" for i in range(300)], k=200))) for i in rnd.sample(range(1000), 60)]
+    (a, text), (b, other), (_, third) = unlike[:3]
+    again = [(a + 1000, text + " end"), (b, other), (None, third), (None, "alone here"), (None, "alone here"), (2000, ""), (2000, ""), (None, None)]
+    docs = spark.createDataFrame(unlike + again, "doc_id long, text string").coalesce(1)
+    found = [(r.doc_id, r.text) for r in ngrams.deduplicated(docs).collect()]
+    assert sorted(found, key=repr) == sorted([*unlike, (None, "alone here"), (2000, ""), (2000, ""), (None, None)], key=repr)
+    untouched = [r for r in unlike if r[0] != b]
+    assert [r for r in found if r in untouched] == untouched
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2100)]
