@@ -15,6 +15,7 @@ No token of these vocabularies crosses white space, so texts are cut there.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import heapq
 import json
@@ -24,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -196,6 +198,8 @@ _NOT_SIMPLE = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if a else f"\\x00-{
 GAP, LETTER, DIGIT, OTHER = range(4)
 #: Bytes of text that one matrix step takes, and the longest word that goes into a matrix.
 GROUP_BYTES, MATRIX_WORD = 8_000_000, 48
+#: Bytes of text that encode_documents() takes from a batch at once: fewer take more time, more take more memory.
+SLICE_BYTES = 3_000_000
 
 
 def code_point_classes() -> np.ndarray:
@@ -414,6 +418,25 @@ def read_tokenizer(path: str) -> str:
         return file.read()
 
 
+def in_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in order, in slices of SLICE_BYTES of a string column; a longer text is a slice of its own."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Memory that is free in this process goes back to the system, also what earlier tasks of a worker have left."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc's
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of ``docs``, by the rank array.
 
@@ -423,12 +446,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder = encoder_of(spec.value)
         for batch in batches:
-            ids, counts = encoder.encode(batch.column(1).to_pylist())
-            offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-            values = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["id", "ids"])
+            for some in in_slices(batch, 1):
+                ids, counts = encoder.encode(some.column(1).to_pylist())
+                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                values = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column(0), values], ["id", "ids"])
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, f"id {kind}, ids array<int>")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,3 +177,26 @@ def test_counts_by_other_libraries(spark):
     other = Tokenizer.from_file(path)
     found = {r.doc_id: r.n_tokens for r in counts.count_tokens(docs, path, shared.fresh_path(spark, "c")).collect()}
     assert found == {k: len(other.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_memory_of_a_large_batch(spark, monkeypatch):
+    """A batch as Spark hands it over, 10,000 rows, is encoded slice by slice; what is held at once doesn't grow with it."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("thingersonaed", k=draw.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(words, k=400)) for _ in range(10_000)]
+    texts[3], texts[4], texts[5], texts[77] = None, "", " ".join(texts[6:1500]), "é <|endoftext|> Σ"
+    docs = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run, rows = bpe.encode_documents(docs, PATH), pa.record_batch([pa.array(range(10_000)), pa.array(texts)], ["id", "text"])
+    found: dict[int, list[int]] = {}
+    peak, many = 0, []
+    list(run(iter([rows.slice(0, 3)])))  # the encoder itself is there before
+    tracemalloc.start()
+    for batch in run(iter([rows])):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        many += batch.column(0).to_pylist()
+        found |= {i: batch.column(1)[k].as_py() for k, i in enumerate(batch.column(0).to_pylist()) if i < 6 or i % 77 == 0}
+    tracemalloc.stop()
+    assert many == list(range(10_000))
+    assert found == {i: library(texts[i] or "") for i in found} and len(found) > 100
+    assert peak < 200_000_000  # 290 MB when a batch was encoded at once
